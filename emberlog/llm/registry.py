@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import neardup, quality, tokenfile
+from emberlog.llm import mixing, neardup, quality, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer file lies; a folder can be named in EMBERLOG_TOKENIZERS."""
     folder = os.environ.get("EMBERLOG_TOKENIZERS")
@@ -35,12 +39,28 @@ def op7_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_index(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op7_pfor_tokens, op9_quality_cascade)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op3_entropy_mix, op7_pfor_tokens, op9_quality_cascade)}
 
 #: Words of a text, as all queries here take them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
+    "op3_entropy_mix": rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size,
+             [1, 2, 3][CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM d GROUP BY source),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0))::DOUBLE
+                / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE AS level
+      FROM s WINDOW b AS (ORDER BY 3 * source_size / w::DOUBLE, w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT min_by(level, 3 * source_size / w::DOUBLE) AS level FROM l WHERE 3 * source_size >= level * w),
+t AS (SELECT source, n, source_size, least((3 * source_size)::DOUBLE, f.level * w) AS target FROM l, f),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.source,
+             CASE WHEN t.source_size > 0 AND t.target > 0 THEN least(3.0::DOUBLE, round(t.target / t.source_size, 9)) ELSE 0.0::DOUBLE END AS rate,
+             md5(coalesce(CAST(d.doc_id AS VARCHAR), '')) AS digest, t.n
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, row_number() OVER (PARTITION BY source, CAST('0x' || substr(digest, 1, 6) AS BIGINT) % CAST(ceil(n / 4096.0) AS BIGINT)
+                                   ORDER BY size, digest) AS k FROM r)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(k * rate + 0.5) - floor((k - 1) * rate + 0.5)) AS BIGINT) AS taken FROM p""",
     "op9_quality_cascade": rf"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS ws,
                   string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
