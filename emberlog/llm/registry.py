@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import mixing, neardup, quality, tokenfile
+from emberlog.llm import chat, mixing, neardup, quality, secrets, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer file lies; a folder can be named in EMBERLOG_TOKENIZERS."""
     folder = os.environ.get("EMBERLOG_TOKENIZERS")
@@ -39,12 +47,20 @@ def op7_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_index(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op3_entropy_mix, op7_pfor_tokens, op9_quality_cascade)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op3_entropy_mix, op6_snapshot_collapse, op7_pfor_tokens, op9_quality_cascade, op10_randomness_secrets)}
 
 #: Words of a text, as all queries here take them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
+    "op6_snapshot_collapse": """
+WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS seq,
+             string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+                        ORDER BY turn NULLS FIRST, role, text) AS chat FROM d GROUP BY conv_id),
+u AS (SELECT min(conv_id) AS conv_id, count(*) AS n_same, n, seq, min(chat) AS chat FROM c GROUP BY n, seq)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, CAST(n_same AS BIGINT) AS n_same, chat FROM u
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.seq[1] = u.seq[1] AND c.n > u.n AND c.seq[1:u.n] = u.seq)""",
     "op3_entropy_mix": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size,
