@@ -21,6 +21,8 @@ their texts; null doc_ids come first; an empty table gives no shard and no row.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,10 +42,16 @@ MAGIC = b"EMBPFOR1"
 BLOCK = 256
 GROUP = 1024
 PERCENTILE = 0.95
-CACHE_PIECES = 300_000
-CACHE_BYTES = 64
+CACHE_PIECES = 700_000
+CACHE_PARTS = 200_000
 SHARD_BYTES = 64 << 20
 TIED = re.compile(r"\s (?:\s|\Z)")  # a space that may belong to the white space on both sides
+# Fixed values of byte-level BPE: how texts are split (here for plain characters only), and the
+# characters that stand for the 256 bytes: printable ones for themselves, the rest from 256 on.
+PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]*")
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \nA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \n]+(?![^ \n])|[ \n]+")
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = "".join(chr(b if b in _SELF else 256 + [x for x in range(256) if x not in _SELF].index(b)) for b in range(256))
 _U64 = np.uint64
 
 
@@ -234,7 +242,10 @@ class PieceTokenizer:
 
     Its splitting pattern always cuts before a space that has a character other
     than white space on either side, so a text's ids are those of its pieces, one
-    after the other; pieces that only white space joins are kept together.
+    after the other; pieces that only white space joins are kept together.  A new piece of
+    plain characters (ASCII, Latin-1 letters) is split by the same pattern here, its
+    parts go to the library's BPE model and are remembered too; any other new piece goes to
+    the library whole.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -245,11 +256,13 @@ class PieceTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.bpe = self.model.model
         self.end_id = end_id
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -267,32 +280,52 @@ class PieceTokenizer:
                 joined.append(p)
         return joined
 
+    def _ids(self, piece: str) -> list[int]:
+        if not PLAIN.fullmatch(piece):
+            return self.model.encode(piece, add_special_tokens=False).ids
+        out: list[int] = []
+        for part in PART.findall(piece):
+            ids = self.parts.get(part)
+            if ids is None:
+                if len(self.parts) >= CACHE_PARTS:
+                    self.parts.clear()
+                ids = self.parts[part] = [t.id for t in self.bpe.tokenize(part.encode().decode("latin-1").translate(BYTE_CHARS))]
+            out += ids
+        return out
+
     def _learn(self, fresh: list[str]) -> None:
+        every: list[int] = []
+        sizes = np.zeros(len(fresh), np.int64)
         n = len(self.known)
-        for k in range(0, len(fresh), 4096):
-            for piece, got in zip(fresh[k : k + 4096], self.model.encode_batch_fast(fresh[k : k + 4096], add_special_tokens=False)):
-                ids = got.ids
-                if n >= len(self.starts):
-                    self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, self.pool])
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.known[piece], self.starts[n], self.sizes[n] = n, self.used, len(ids)
-                self.used += len(ids)
-                n += 1
+        for k, piece in enumerate(fresh):
+            ids = self._ids(piece)
+            sizes[k] = len(ids)
+            every += ids
+            self.known[piece] = n + k
+        while n + len(fresh) > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
+        while self.used + len(every) > len(self.pool):
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.pool[self.used : self.used + len(every)] = every
+        self.sizes[n : n + len(fresh)] = sizes
+        self.starts[n : n + len(fresh)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(every)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end id, and how many each has."""
-        if len(self.known) > CACHE_PIECES or self.used > CACHE_PIECES * CACHE_BYTES // 4:
+        if len(self.known) > CACHE_PIECES or self.used > 8 * CACHE_PIECES:
             self._clear()
         every: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             every += self.pieces(text)
             counts[k] = len(every)
-        known = self.known
-        self._learn([p for p in dict.fromkeys(every) if p not in known])
-        which = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+        which = np.fromiter(map(self.known.get, every, itertools.repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            new = [every[k] for k in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            which[missing] = [self.known[p] for p in new]
         # the end id is one more piece after those of each text
         lengths = np.insert(self.sizes[which], counts, 1)
         begins = np.insert(self.starts[which], counts, self.used)
@@ -305,6 +338,12 @@ class PieceTokenizer:
         return ids, np.diff(stops, prepend=0)
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizer(path: str, end_id: int) -> PieceTokenizer:
+    """One tokenizer for all tasks of a worker, so that what it remembers lasts."""
+    return PieceTokenizer(path, end_id)
+
+
 # ---------------------------------------------------------------- operators
 
 
@@ -324,7 +363,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         shard, name, out, n, tokens = context.partitionId(), f"shard-{context.partitionId():08d}.pfor", None, 0, None
         for batch in slices(batches):
             if out is None:
-                out, tokens = ShardWriter(folder, name, context.taskAttemptId(), percentile), PieceTokenizer(tokenizer_path, end_id)
+                out, tokens = ShardWriter(folder, name, context.taskAttemptId(), percentile), tokenizer(tokenizer_path, end_id)
             ids, lengths = tokens.encode([t or "" for t in batch.column(1).to_pylist()])
             keys = batch.column(0)
             out.add(keys.fill_null(0).to_numpy(), np.asarray(keys.is_null()), ids, lengths)
