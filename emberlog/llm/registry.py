@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import chat, mixing, neardup, quality, secrets, tokenfile
+from emberlog.llm import chat, licenses, mixing, neardup, quality, secrets, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,7 +51,7 @@ def op7_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_index(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op3_entropy_mix, op6_snapshot_collapse, op7_pfor_tokens, op9_quality_cascade, op10_randomness_secrets)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op2_license_scan, op3_entropy_mix, op6_snapshot_collapse, op7_pfor_tokens, op9_quality_cascade, op10_randomness_secrets)}
 
 #: Words of a text, as all queries here take them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
