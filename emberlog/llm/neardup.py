@@ -11,10 +11,11 @@ Documents with equal sets form one class, known by its smallest doc_id, and only
 go on.  In a bucket (one band, one key) every class is held against the smallest one;
 the Jaccard estimate from the registers, less the collisions that random registers
 would give, drops pairs that are plainly too far apart; the rest is confirmed on the
-full sets.  Confirmed links give components.  A bucket that still holds more than one
-component then gives its classes against the smallest of each other component, and what
-is still apart after that gives all its untested pairs across components: no link that a
-shared band shows is lost, and no group is spread out into all its pairs.
+full sets.  Confirmed links give components.  Where a bucket still holds more than one
+component, its classes outside the largest one are held against all others, block by block:
+a task has two blocks of about BLOCK texts, estimates and confirms their pairs
+in memory, and returns links between components alone.  So no link that a shared band
+shows is lost, and no group is ever spread out into rows of pairs.
 
 Cases: a null or empty text has an empty set and links with nothing; with fewer than five
 words the whole sequence is the one shingle; repeated rows of one doc_id are
@@ -140,7 +141,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """band (with its number in the key's place) and key of each class: rep, band, key."""
+    """Band and key of each class: rep, band, key.  The band's number is mixed into the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,9 +151,10 @@ def _bands(classes: DataFrame) -> DataFrame:
             keys = np.ascontiguousarray(raw).view(np.uint64)[:, :, 0]
             keys = mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             rep = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(keys.reshape(-1))], names=["rep", "key"])
+            band = np.tile(np.arange(BANDS, dtype=np.int8), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(band), pa.array(keys.reshape(-1))], names=["rep", "band", "key"])
 
-    return classes.select("rep", "sketch").mapInArrow(run, "rep long, key long")
+    return classes.select("rep", "sketch").mapInArrow(run, "rep long, band byte, key long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -195,9 +197,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
                 if parts_[k] == 0:
                     head, own = keys[k], part
                     continue
-                at = np.searchsorted(own, part)
-                both = int((own[np.minimum(at, len(own) - 1)] == part).sum()) if len(own) else 0
-                if head == keys[k] and both and 100 * both >= SIMILAR * (len(own) + len(part) - both):
+                if head == keys[k] and _similar(own, part):
                     a.append(keys[k])
                     b.append(ids[k])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -205,7 +205,95 @@ def _confirm(pairs: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket: members (key, band, rep)."""
+    placed = members.select("key", "band", "rep").join(labels, "rep")
+    shares = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("component", F.struct("c", "component")).alias("top"), F.max("c").alias("c")).filter("n > c")
+    held = placed.join(mixed, "key").withColumn("left", F.col("component") != F.col("top"))
+    block = lambda size: F.pmod(F.xxhash64("rep"), size).cast("int")
+    lefts, rights = F.ceil((F.col("n") - F.col("c")) / BLOCK), F.ceil(F.col("n") / BLOCK)
+    every = lambda size: F.explode(F.sequence(F.lit(0), (size - 1).cast("int")))
+    own = ("key", "band", "rep", "component")
+    sides = held.filter("left").select(*own, block(lefts).alias("l"), every(rights).alias("r"), F.lit(0).alias("side")).unionByName(held.select(*own, every(lefts).alias("l"), block(rights).alias("r"), F.lit(1).alias("side")))
+    full = classes.select("rep", "sketch").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    rows = sides.join(full, "rep").select("key", "l", "r", "side", "band", "rep", "component", "sketch", "text").repartition(parts, "key", "l", "r").sortWithinPartitions("key", "l", "r", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # rows of the block pair that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            ids = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            cut = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+            bounds = [0, *cut.tolist()]
+            for lo, hi in zip(bounds, bounds[1:]):
+                yield _links_within(held.slice(lo, hi - lo))
+            held = held.slice(bounds[-1])
+        if held is not None:
+            yield _links_within(held)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _links_within(rows: pa.Table) -> pa.RecordBatch:
+    """The links that join components of one block pair; rows of side 0 against those of side 1."""
+    side, rep, component = (rows.column(k).to_numpy() for k in (3, 5, 6))
+    band = int(rows.column(4)[0].as_py())
+    marks = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint16).reshape(len(rep), BANDS * ROWS)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    outside = set(rep[left].tolist())
+    twice = np.array([x in outside for x in rep[right].tolist()], bool)
+    a: list[int] = []
+    b: list[int] = []
+    near: list[tuple[int, np.ndarray]] = []
+    for i in left.tolist():
+        able = (component[right] != component[i]) & ~(twice & (rep[right] < rep[i]))
+        able[able] = estimate(np.broadcast_to(marks[i], (int(able.sum()), BANDS * ROWS)), marks[right[able]]) >= DOUBT
+        if able.any():
+            # only in the first band that both share
+            others = right[able]
+            first = (marks[others].reshape(-1, BANDS, ROWS) == marks[i].reshape(BANDS, ROWS)).all(axis=2).argmax(axis=1)
+            near.append((i, others[first == band]))
+    wanted = np.unique(np.concatenate([np.concatenate([[i], js]) for i, js in near])) if near else np.zeros(0, np.int64)
+    if len(wanted):
+        hashes, bounds = shingle_sets(Texts(rows.column(8).take(pa.array(wanted))))
+        place = {int(k): n for n, k in enumerate(wanted.tolist())}
+        root = {int(c): int(c) for c in component.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i, js in near:
+            own = hashes[bounds[place[i]] : bounds[place[i] + 1]]
+            for j in js.tolist():
+                p, q = find(int(component[i])), find(int(component[j]))
+                if p == q:
+                    continue
+                other = hashes[bounds[place[j]] : bounds[place[j] + 1]]
+                if _similar(own, other):
+                    root[max(p, q)] = min(p, q)
+                    a.append(int(rep[i]))
+                    b.append(int(rep[j]))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _similar(own: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    small, large = (own, other) if len(own) <= len(other) else (other, own)
+    if not len(small) or 100 * len(small) < SIMILAR * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= SIMILAR * (len(own) + len(other) - both)
+
+
 CHUNK = 256
+BLOCK = 256
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -237,33 +325,18 @@ def classify(docs: DataFrame) -> DataFrame:
     classes = materialize(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
     buckets = materialize(_bands(classes), "bands")
     heads = buckets.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(buckets.join(heads, "key").select("key", "rep", "head", "n"), "members")
+    members = materialize(buckets.join(heads, "key").select("key", "band", "rep", "head", "n"), "members")
     pairs = members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = materialize(_likely(pairs, classes), "pairs")
+    tested = _likely(pairs, classes)
     owners = classes.select("rep")
     # only classes that share a bucket are ever confirmed: their texts are gathered once
     sharing = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(docs.select("doc_id", "text").join(sharing, "doc_id", "left_semi"), "texts")
     links = materialize(_confirm(tested, texts, parts), "confirmed")
     labels = materialize(components(owners, links), "components")
-    # A bucket of three and more may hold links that its head doesn't show: hold the smallest
-    # class of each of its components against the others, then all that is left across components.
-    wide = members.filter("n > 2").select("key", "rep")
-    for whole in (False, True):
-        placed = wide.join(labels, "rep")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).filter("lowest <> highest").select("key")
-        held = materialize(placed.join(mixed, "key"), "mixed")
-        if not held.limit(1).count():
-            break
-        one = held if whole else held.groupBy("key", "component").agg(F.min("rep").alias("rep"))
-        other = one.select("key", F.col("rep").alias("rep2"), F.col("component").alias("component2"))
-        across = held.join(other, "key").filter("component <> component2").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-        fresh = materialize(_likely(across.join(tested, ["a", "b"], "left_anti"), classes), "pairs")
-        tested = tested.unionByName(fresh)
-        more = materialize(_confirm(fresh, texts, parts), "confirmed")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = materialize(components(owners, links), "components")
+    more = materialize(_across(members.filter("n > 2"), labels, classes, texts, parts), "confirmed")
+    if more.limit(1).count():
+        labels = materialize(components(owners, links.unionByName(more)), "components")
     by_set = full.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).join(labels, "rep").select("doc_id", "d1", "d2", "component")
     # a repeated doc_id joins what each of its rows reaches: take the smallest
     placed = by_set.groupBy("doc_id").agg(F.min("component").alias("component"))
