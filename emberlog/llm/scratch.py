@@ -6,6 +6,7 @@ that is unset (unit tests on one machine) a temporary folder is made and set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,12 +31,19 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: a cut in the lineage
-    that a lost executor cannot undo and that no later action computes again."""
+    that a lost executor cannot undo and that no later action computes again.
+
+    release asks the driver to collect its garbage, on which Spark drops the shuffle
+    files that nothing can reach any more; large operators do so between their steps.
+    """
     spark = df.sparkSession
     path = fresh(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
