@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import chat, decontam, exactsub, licenses, mixing, neardup, quality, secrets, tokenfile
+from emberlog.llm import chat, decontam, exactsub, licenses, mixing, neardup, pii, quality, secrets, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +63,7 @@ def op7_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_index(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op2_license_scan, op3_entropy_mix, op5_rare_seed_alignment, op6_snapshot_collapse, op7_pfor_tokens, op8_prefix_doubling_dedup, op9_quality_cascade, op10_randomness_secrets)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op2_license_scan, op3_entropy_mix, op4_crf_pii, op5_rare_seed_alignment, op6_snapshot_collapse, op7_pfor_tokens, op8_prefix_doubling_dedup, op9_quality_cascade, op10_randomness_secrets)}
 
 #: Words of a text, as all queries here take them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
