@@ -6,15 +6,15 @@ Spark and ranked anew, as a suffix array is built by prefix doubling, with two d
 that keep it small: a position is dropped as soon as its prefix is unique, and the first rank is
 taken only at positions that the text itself chooses.
 
-1. Rank at GRAM bytes.  Every WIDTH-byte string has one anchor, the place of the smallest fingerprint
+1. Rank at GRAM = WIDTH / 2 bytes.  Every WIDTH-byte string has one anchor, the place of the smallest fingerprint
    of a GRAM-byte string inside it, so equal strings have equal anchors.  Anchors are sorted by
    rank; those whose GRAM bytes stand in one document only are unique and go no further.
 2. Rank at the reach of an anchor.  The strings that have an anchor start one after the other, and
    all are equal to another anchor's if the bytes from the first one's start to the last
    one's end are.  Equal reaches share a rank, and the smallest document of a rank covers the
    reach of all others: copies, however many, end here.
-3. Rank at WIDTH / 2 and, by pairs of ranks WIDTH / 2 apart, at WIDTH bytes: for the strings of one
-   reach of each rank (in its smallest document), where its anchor stands in other reaches too.
+3. Rank at WIDTH bytes, by the pairs of ranks WIDTH / 2 apart: for the strings of one reach of each
+   rank (in its smallest document), where its anchor stands in other reaches too.
 
 A rank is named by the 64-bit fingerprint of its prefix; two prefixes share it if and only if they
 are equal, but for a chance of 2 ** -64 a pair.
@@ -38,8 +38,8 @@ from emberlog.llm.scratch import materialize
 from emberlog.llm.textnum import _BYTE, Texts, _powers, mix, slices
 
 WIDTH = 50
-GRAM = 16
 HALF = WIDTH // 2
+GRAM = HALF
 REACH_BITS = 8
 SLICE = 1 << 20
 LAST = (1 << 63) - 1  # the doc_id that stands for null
@@ -146,9 +146,9 @@ def covered(docs: DataFrame) -> DataFrame:
     # anchors that stand in several reaches: rank their strings one by one, in the first document of each reach
     many = reaches.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     wanted = reaches.join(many, "gram", "left_semi").groupBy("doc", "tag").agg(F.collect_list(F.struct("span", "whole")).alias("wanted"))
-    strings = materialize(_string_rows(docs.join(wanted, ["doc", "tag"]).select("doc", "text", "wanted")), "strings", release=True)
-    firsts = strings.groupBy("rank").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("rank", "low")
-    gone = strings.join(firsts, "rank").filter("doc > low").groupBy("whole", "doc").agg(F.collect_set("place").alias("places"))
+    strings = _string_rows(docs.join(wanted, ["doc", "tag"]).select("doc", "text", "wanted"))
+    strings = materialize(strings.withColumn("low", F.min("doc").over(Window.partitionBy("rank"))).filter("doc > low").select("whole", "doc", "place"), "strings", release=True)
+    gone = strings.groupBy("whole", "doc").agg(F.collect_set("place").alias("places"))
     # wherever that document has this reach
     single = live.join(gone, ["whole", "doc"]).select("doc", "tag", start.alias("from"), F.explode("places").alias("place")).select("doc", "tag", (F.col("from") + F.col("place")).alias("start"), F.lit(WIDTH).alias("size"))
     return materialize(later.unionByName(single), "pieces", release=True)
