@@ -1,0 +1 @@
+"""Log forensics on Spark: lines to entries to clusters to verdicts, as DataFrame plans."""
