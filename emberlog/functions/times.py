@@ -10,49 +10,41 @@ _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,:](\d{1,6}))?)?\s*(Z|[+-]\d{2}:?\d{2
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
+#: Shapes of a date and time, and what brings them into the order year, month, day, time parts, zone, iso mark.
+SHAPES = (
+    (r"^(\d{4})-(\d{2})-(\d{2})[T ]\s*" + _TIME + "$", "$1|$2|$3|$4|$5|$6|$7|$8|iso"),
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T: ]*\s*" + _TIME + "$", "$1|$2|$3|$4|$5|$6|$7||"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})[T: ]*\s*" + _TIME + "$", "$3|$1|$2|$4|$5|$6|$7||"),
+    (r"^(\d{4})(\d{2})(\d{2})-" + _TIME + "$", "$1|$2|$3|$4|$5|$6|$7||"),
+    (r"^(\d{1,2})[-/]([A-Za-z]{3})[-/](\d{4})[T: ]*\s*" + _TIME + "$", "$3|$2|$1|$4|$5|$6|$7||"),
+    (r"^([A-Za-z]{3})\s+(\d{1,2})[T: ]*\s*" + _TIME + "$", "2000|$1|$2|$3|$4|$5|$6||"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1|$2|$3|0|0||||"),
+    ("^" + _TIME + "$", "2000|1|1|$1|$2|$3|$4||"),
+)
+
+
 def parse(raw: Column) -> Column:
     """Seconds since the epoch (UTC unless an ISO offset says otherwise), or null.
 
-    Numbers stand for themselves; dates without a year are put in 2000, times without a
+    Numbers stand for themselves (but eight digits are a day); dates without a year are put in 2000, times without a
     date on its first day.  Offsets count only after an ISO date.
     """
     x = F.trim(raw)
-    shapes = (
-        (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T: ]*\s*" + _TIME + "$", (1, 2, 3), 4),
-        (r"^(\d{1,2})/(\d{1,2})/(\d{4})[T: ]*\s*" + _TIME + "$", (3, 1, 2), 4),
-        (r"^(\d{4})(\d{2})(\d{2})-" + _TIME + "$", (1, 2, 3), 4),
-    )
-    number = F.when(x.rlike(r"^\d+(\.\d+)?$"), x.cast("double"))
-    # a run of eight digits is a day
-    day = F.when(x.rlike(r"^\d{8}$"), _seconds(F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2), "0", "0", "0", ""))
-    found = [day, number]
-    for pattern, (y, m, d), at in shapes:
-        part = lambda k, p=pattern: F.regexp_extract(x, p, k)
-        stamp = _seconds(part(y), part(m), part(d), part(at), part(at + 1), part(at + 2), part(at + 3))
-        zone = part(at + 4)
-        sign = F.when(zone.startswith("-"), -1).otherwise(1)
-        shift = F.when(zone.rlike("^[+-]"), sign * (F.substring(zone, 2, 2).cast("int") * 3600 + F.substring(F.regexp_replace(zone, ":", ""), 4, 2).cast("int") * 60)).otherwise(0)
-        iso = x.rlike(r"^\d{4}-\d{2}-\d{2}[T ]")
-        found.append(F.when(x.rlike(pattern), stamp - F.when(iso, shift).otherwise(0)))
-    named = (
-        (r"^(\d{1,2})[-/]([A-Za-z]{3})[-/](\d{4})[T: ]*\s*" + _TIME + "$", 3, 2, 1, 4),
-        (r"^([A-Za-z]{3})\s+(\d{1,2})[T: ]*\s*" + _TIME + "$", None, 1, 2, 3),
-    )
-    for pattern, y, m, d, at in named:
-        part = lambda k, p=pattern: F.regexp_extract(x, p, k)
-        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(m))).cast("string")
-        found.append(F.when(x.rlike(pattern), _seconds(part(y) if y else F.lit("2000"), month, part(d), part(at), part(at + 1), part(at + 2), part(at + 3))))
-    clock = "^" + _TIME + "$"
-    part = lambda k: F.regexp_extract(x, clock, k)
-    found.append(F.when(x.rlike(clock), _seconds(F.lit("2000"), F.lit("1"), F.lit("1"), part(1), part(2), part(3), part(4))))
-    return F.coalesce(*found)
-
-
-def _seconds(y, m, d, h, mi, s, us) -> Column:
-    y, m, d, h, mi, s, us = (F.lit(v) if isinstance(v, str) else v for v in (y, m, d, h, mi, s, us))
-    part = lambda v: F.coalesce(F.try_to_number(F.when(v != "", v), F.lit("999999")).cast("int"), F.lit(0))
-    stamp = F.try_make_timestamp(part(y), part(m), part(d), part(h), part(mi), part(s).cast("decimal(8,6)"))
-    return F.unix_seconds(stamp).cast("double") + F.when(us != "", F.rpad(us, 6, "0").cast("int") / 1e6).otherwise(0.0)
+    parts = F.coalesce(*(F.when(x.rlike(p), F.regexp_replace(x, p, order)) for p, order in SHAPES))
+    # each step binds its input once: a one-element array, transformed
+    stamped = F.transform(F.transform(F.array(parts), lambda c: F.split(c, r"\|")), _seconds)[0]
+    return F.coalesce(stamped, F.when(x.rlike(r"^\d+(\.\d+)?$"), x.cast("double")))
+
+
+def _seconds(p: Column) -> Column:
+    number = lambda k: F.coalesce(F.try_to_number(F.nullif(p[k], F.lit("")), F.lit("999999")).cast("int"), F.lit(0))
+    named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(p[1])).cast("int")
+    month = F.when(p[1].rlike("^[A-Za-z]"), named).otherwise(F.try_to_number(p[1], F.lit("99")).cast("int"))
+    stamp = F.try_make_timestamp(number(0), month, number(2), number(3), number(4), number(5).cast("decimal(8,6)"))
+    fraction = F.when(p[6] != "", F.rpad(p[6], 6, "0").cast("int") / 1e6).otherwise(0.0)
+    zone = F.regexp_replace(p[7], ":", "")
+    shift = F.when((p[8] == "iso") & zone.rlike("^[+-]"), F.when(zone.startswith("-"), -1).otherwise(1) * (F.substring(zone, 2, 2).cast("int") * 3600 + F.substring(zone, 4, 2).cast("int") * 60)).otherwise(0)
+    return F.unix_seconds(stamp).cast("double") + fraction - shift
 
 
 def show(ts: Column) -> Column:

@@ -25,7 +25,7 @@ def classify(lines: DataFrame, rule: str | RuleSet | None = None) -> DataFrame:
     text = F.col("text")
     blank = strip(text) == ""
     indented = text.rlike(r"^[ \t]")
-    out = structured.with_claim(lines).withColumn("m", F.when(~blank, rules.match(text)))
+    out = rules.with_match(structured.with_claim(lines))
     kind = (
         F.when(blank, "BLANK")
         .when(F.col("claim").isNotNull(), "START")
@@ -57,24 +57,21 @@ def entries(lines: DataFrame, rule: str | RuleSet | None = None, span_files: boo
         F.min_by("text", "line_no").alias("raw"), head.alias("head"), pile("extra", strip(F.col("text"))).alias("message_extra"), pile("stack", F.col("text")).alias("stack"),
     )
     c, m = F.col("head.claim"), F.col("head.m")
-    said = F.coalesce(c["message"], m["message"], F.when(F.col("grp") > 0, F.col("head.text")), F.lit(""))
-    level0 = F.when(F.coalesce(c["level"], m["level"]).isNotNull(), levels.normalize(F.coalesce(c["level"], m["level"])))
-    token = F.regexp_extract(said, HEAD, 1)
-    token_level = F.when(token != "", levels.canonical(token))
-    as_level = level0.isNull() & token_level.isNotNull()
-    as_module = (token != "") & ~as_level & F.coalesce(c["module"], m["module"]).isNull() & token_level.isNull()
-    message = F.when(as_level | as_module, strip(F.regexp_replace(said, HEAD, ""))).otherwise(said)
-    orphan = F.col("grp") == 0
-    level = F.when(orphan, F.coalesce(rules.infer_level(F.col("raw")), F.lit("ERROR"))).otherwise(F.coalesce(level0, F.when(as_level, token_level), rules.infer_level(message), F.lit("INFO")))
+    # each step is a column of its own, so that no expression is written out twice in the plan
+    out = out.withColumn("said", F.coalesce(c["message"], m["message"], F.when(F.col("grp") > 0, F.col("head.text")), F.lit("")))
+    out = out.withColumn("spelled", F.coalesce(c["level"], m["level"])).withColumn("stamp", F.coalesce(c["timestamp"], m["timestamp"])).withColumn("named", F.coalesce(c["module"], m["module"]))
+    out = out.withColumn("given", F.when(F.col("spelled").isNotNull(), levels.normalize(F.col("spelled")))).withColumn("token", F.regexp_extract("said", HEAD, 1))
+    out = out.withColumn("token_level", F.when(F.col("token") != "", levels.canonical(F.col("token"))))
+    out = out.withColumn("as_level", F.col("given").isNull() & F.col("token_level").isNotNull())
+    out = out.withColumn("as_module", (F.col("token") != "") & ~F.col("as_level") & F.col("named").isNull() & F.col("token_level").isNull())
+    out = out.withColumn("message", F.when(F.col("as_level") | F.col("as_module"), strip(F.regexp_replace("said", HEAD, ""))).otherwise(F.col("said")))
+    level = F.when(F.col("grp") == 0, F.coalesce(rules.infer_level(F.col("raw")), F.lit("ERROR"))).otherwise(F.coalesce("given", F.when(F.col("as_level"), F.col("token_level")), rules.infer_level(F.col("message")), F.lit("INFO")))
     error = c["error"]
-    stack = F.when(error.isNotNull() & ~F.contains(message, F.coalesce(error, F.lit(""))), F.concat(F.array(error), F.col("stack"))).otherwise(F.col("stack"))
-    stamp = F.coalesce(c["timestamp"], m["timestamp"])
-    named = F.coalesce(c["module"], m["module"], F.when(as_module, token), F.lit(""))
-    correlation = F.coalesce(c["request_id"], c["trace_id"])
-    full = F.array_join(F.concat(F.array(message), F.col("message_extra")), " ")
+    stack = F.when(error.isNotNull() & ~F.contains("message", F.coalesce(error, F.lit(""))), F.concat(F.array(error), F.col("stack"))).otherwise(F.col("stack"))
+    module = strip(F.coalesce("named", F.when(F.col("as_module"), F.col("token")), F.lit("")))
     nexts = Window.partitionBy(*run).orderBy("line_no")
     return out.select(
         *run, "source", "line_no", "last_line_no", "file_line_no", "file_last_line_no", F.lead("line_no").over(nexts).alias("next_start"), "raw",
-        times.parse(stamp).alias("ts"), level.alias("level"), strip(named).alias("module"), message.alias("message"), "message_extra", stack.alias("stack"), full.alias("full_message"),
-        c["trace_id"].alias("trace_id"), c["request_id"].alias("request_id"), c["span_id"].alias("span_id"), correlation.alias("correlation_id"), c.isNotNull().alias("structured"), c["fields"].alias("fields"), F.coalesce(m["pattern"], F.lit("")).alias("pattern"),
+        times.parse(F.col("stamp")).alias("ts"), level.alias("level"), module.alias("module"), "message", "message_extra", stack.alias("stack"), F.array_join(F.concat(F.array("message"), F.col("message_extra")), " ").alias("full_message"),
+        c["trace_id"].alias("trace_id"), c["request_id"].alias("request_id"), c["span_id"].alias("span_id"), F.coalesce(c["request_id"], c["trace_id"]).alias("correlation_id"), c.isNotNull().alias("structured"), c["fields"].alias("fields"), F.coalesce(m["pattern"], F.lit("")).alias("pattern"),
     )

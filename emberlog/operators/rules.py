@@ -54,6 +54,7 @@ JENKINS_HINTS = {"ERROR": [r"\[err\]", r"\[severe\]", r"\bERROR\b", "Compilation
 #: A stack line that is not indented begins with one of these, or names an exception.
 FLUSH = r"^(Caused by|Traceback|Backtrace|at |File |raise |terminate)|^[A-Za-z_][\w.$]*(?:Exception|Error|Fault|Interrupt)\s*[:({]"
 
+MARK = "\x01"
 GROUPS = ("timestamp", "level", "module", "message")
 
 
@@ -70,15 +71,17 @@ class RuleSet:
             if not groups & set(GROUPS):
                 raise ValueError(f"pattern {name} of {self.name} names none of {GROUPS}")
 
-    def match(self, text: Column) -> Column:
-        """struct(pattern, timestamp, level, module, message) of the first pattern that matches, or null."""
+    def with_match(self, df: DataFrame, text: str = "text", name: str = "m") -> DataFrame:
+        """df with struct(pattern, timestamp, level, module, message) of the first pattern that matches, or null."""
         tries = []
-        for name, raw in self.patterns:
+        for label, raw in self.patterns:
             pattern = "(?U)" + raw.replace("{LEVEL}", LEVEL_WORDS)
-            at = re.compile(re.sub(r"\(\?<([a-z]+)>", r"(?P<\1>", pattern.replace("(?U)", ""))).groupindex
-            got = lambda g, p=pattern, at=at: F.nullif(F.regexp_extract(text, p, at[g]), F.lit("")) if g in at else F.lit(None).cast("string")
-            tries.append(F.when(text.rlike(pattern), F.struct(F.lit(name).alias("pattern"), *(got(g).alias(g) for g in GROUPS))))
-        return F.coalesce(*tries)
+            has = set(re.findall(r"\(\?<([a-z]+)>", pattern))
+            groups = MARK.join("${" + g + "}" if g in has else "" for g in GROUPS)
+            tries.append(F.when(F.col(text).rlike(pattern), F.regexp_replace(text, pattern, f"{label}{MARK}{groups}")))
+        out = df.withColumn(name, F.split(F.coalesce(*tries), MARK))
+        got = lambda k: F.nullif(F.col(name)[k], F.lit(""))
+        return out.withColumn(name, F.when(F.col(name).isNotNull(), F.struct(F.col(name)[0].alias("pattern"), *(got(k + 1).alias(g) for k, g in enumerate(GROUPS)))))
 
     def is_stack(self, text: Column) -> Column:
         return text.rlike("(?U)" + "|".join(self.stacks))
@@ -115,7 +118,7 @@ def scores(sample: DataFrame) -> DataFrame:
     """Per preset the shares of a sample's lines that hit, have a timestamp, have a module."""
     rows = sample.filter(strip(F.col("text")) != "").select("text")
     for name, rules in PRESETS.items():
-        rows = rows.withColumn(f"m_{name}", rules.match(F.col("text"))).withColumn(f"r_{name}", F.col(f"m_{name}.timestamp"))
+        rows = rules.with_match(rows, "text", f"m_{name}").withColumn(f"r_{name}", F.col(f"m_{name}.timestamp"))
         rows = rows.withColumn(f"t_{name}", times.parse(F.col(f"r_{name}")).isNotNull())
     rate = lambda flag: F.coalesce(F.avg(F.coalesce(flag, F.lit(False)).cast("double")), F.lit(0.0))
     aggs = []

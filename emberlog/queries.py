@@ -556,3 +556,62 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_E + ", f AS (SELECT * FROM c WHERE level = 'ERROR') SELECT CAST(row_number() OVER (ORDER BY first_line, level, template) AS BIGINT) AS cluster_id, level, template, substr(summary, 1, 160) AS summary, module, CAST(count AS BIGINT) AS count, first_line, last_line, first_seen, last_seen FROM f")
 def distinct_errors(spark, sf_dir):
     return flagship(spark, sf_dir).withColumn("cluster_id", F.col("cluster_id").cast("long"))
+
+
+# ------------------------------------------------------------------ a whole log file, from raw lines on
+
+
+def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as the lines of one log file: a head for each, stacks under errors, continued messages under purchases."""
+    e = _t(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")
+    word = F.element_at(levels.lookup({"error": "FATAL", "purchase": "WARN", "signup": "INFO", "view": "DEBUG", "click": "INFO"}), F.col("event_type"))
+    head = F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), word, F.lit(" ["), "event_type", F.lit("] user "), F.col("user_id").cast("string"), F.lit(" waited "), F.floor("value").cast("string"))
+    more = F.when(F.col("event_type") == "error", F.array(F.lit("\tat com.acme.Call.run(Call.java:7)"), F.lit("Caused by: com.acme.DownError: no route"), F.lit("    12 more"))).when(F.col("event_type") == "purchase", F.array(F.lit("  and paid"), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    rows = e.select("event_id", F.posexplode(F.concat(F.array(head), more)).alias("k", "raw"))
+    sizes = e.select("event_id", (1 + F.size(more)).alias("n"))
+    from pyspark.sql import Window
+
+    # a running sum over blocks of events, then within each: no single task orders all lines
+    block = F.floor(F.col("event_id") / 4096)
+    totals = sizes.groupBy(block.alias("block")).agg(F.sum("n").alias("n"))
+    bases = totals.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = F.sum("n").over(Window.partitionBy("block").orderBy("event_id")) - F.col("n")
+    starts = sizes.withColumn("block", block).withColumn("within", within).join(bases, "block").select("event_id", (F.col("base") + F.col("within")).alias("start"))
+    no = (F.col("start") + F.col("k") + 1).cast("long")
+    return rows.join(starts, "event_id").select(F.lit("app.log").alias("source"), F.lit(0).alias("file_seq"), no.alias("file_line_no"), no.alias("line_no"), "raw", F.col("raw").alias("text"))
+
+
+_LOG = """WITH z AS (SELECT *, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 ELSE 1 END AS n FROM events),
+s AS (SELECT *, 1 + sum(n) OVER (ORDER BY event_id) - n AS line_no FROM z),
+en AS (SELECT CAST(line_no AS BIGINT) AS line_no, CAST(line_no + CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS last_line_no, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END AS level,
+ event_type AS module, 'user ' || user_id || ' waited ' || CAST(floor(value) AS BIGINT) AS message, floor(epoch_us(ts) / 1000) / 1000 AS ts, CAST(CASE event_type WHEN 'error' THEN 3 ELSE 0 END AS BIGINT) AS n_stack, CAST(CASE event_type WHEN 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS n_extra FROM s)
+"""
+
+
+@query(_LOG + "SELECT line_no, last_line_no, level, module, message, round(ts, 3) AS ts, n_stack, n_extra FROM en")
+def log_entries(spark, sf_dir):
+    e = assemble.entries(raw_log(spark, sf_dir))
+    return e.select("line_no", "last_line_no", "level", "module", "message", F.round("ts", 3).alias("ts"), F.size("stack").cast("long").alias("n_stack"), F.size("message_extra").cast("long").alias("n_extra"))
+
+
+@query(_LOG + "SELECT level, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE level = 'ERROR') AS BIGINT) AS with_cause, CASE WHEN level = 'ERROR' THEN 'com.acme.DownError: no route' ELSE '' END AS cause FROM en GROUP BY 1")
+def deepest_cause(spark, sf_dir):
+    e = assemble.entries(raw_log(spark, sf_dir))
+    lines = text.causal_lines(F.col("stack"), F.col("message"))
+    return e.select("level", text.deepest_cause(lines).alias("cause"), text.has_cause(lines).alias("has")).groupBy("level", "cause").agg(F.count("*").alias("n"), F.count_if("has").alias("with_cause"))
+
+
+@query(_LOG + "SELECT CAST(count(*) AS BIGINT) AS n, 'com.acme.DownError: no route' AS cause, TRUE AS confirmed FROM en WHERE level = 'ERROR'")
+def confirmed_causes(spark, sf_dir):
+    e = cluster.with_template(assemble.entries(raw_log(spark, sf_dir)).filter("level = 'ERROR'")).persist()
+    c = cluster.clusters(cluster.members(e, threshold=0)).persist()
+    none = c.select(F.col("cluster_id").alias("source"), F.col("cluster_id").alias("target")).limit(0)
+    roots = analysis.root_causes(c, c.select("cluster_id", F.lit(0.0).alias("score")), none)
+    return c.join(roots, "cluster_id").groupBy("cause").agg(F.sum("count").alias("n"), F.min(F.col("confidence") == "CONFIRMED").alias("confirmed"))
+
+
+@query(_LOG + "SELECT CAST(2 AS BIGINT) AS business, CAST(0 AS BIGINT) AS noise, CAST(count(*) AS BIGINT) AS n FROM en WHERE level = 'ERROR' HAVING count(*) > 0")
+def stack_fold(spark, sf_dir):
+    e = assemble.entries(raw_log(spark, sf_dir)).filter("level = 'ERROR'").withColumn("f", text.fold_stack(F.slice("stack", 1, 2)))
+    return e.groupBy(F.col("f.business").cast("long").alias("business"), F.col("f.noise").cast("long").alias("noise")).agg(F.count("*").alias("n"))
