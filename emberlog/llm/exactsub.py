@@ -26,6 +26,7 @@ null doc_id counts as the largest; an empty table gives an empty table; other co
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,6 +43,7 @@ HALF = WIDTH // 2
 GRAM = HALF
 REACH_BITS = 8
 SLICE = 1 << 20
+PARTS = 2
 LAST = (1 << 63) - 1  # the doc_id that stands for null
 
 
@@ -92,14 +94,17 @@ def anchors(texts: Texts, prints: Prints) -> tuple[np.ndarray, np.ndarray, np.nd
     return of[first], chosen[first].astype(np.int64), starts[first], starts[last], grams[chosen[first]]
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """doc, tag, span (start and reach: bytes of all strings of the anchor), gram, whole (fingerprints of anchor and reach)."""
+def _anchor_rows(docs: DataFrame, part: int, parts: int) -> DataFrame:
+    """doc, tag, span (start and reach: bytes of all strings of the anchor), gram, whole (fingerprints of anchor and
+    reach), of the anchors whose gram falls in one of so many parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=SLICE):
             texts = Texts(batch.column(2))
             prints = Prints(texts)
             of, at, first, last, gram = anchors(texts, prints)
+            own = gram % np.uint64(parts) == part
+            of, at, first, last, gram = of[own], at[own], first[own], last[own], gram[own]
             whole = prints.of(first, last + WIDTH) + mix((at - first).astype(np.uint64) + np.uint64(1))
             span = (first - texts.offs[of]) << REACH_BITS | (last - first + WIDTH)
             where = pa.array(of)
@@ -132,10 +137,14 @@ def _string_rows(docs: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame) -> DataFrame:
     """doc, tag, start, size: pieces of the texts (doc, tag, text) that stand in a smaller doc as well."""
-    # rank at GRAM bytes: one sort of all anchors
+    # rank at GRAM bytes: a sort of all anchors, one part of the grams after the other, so that only a part is on disk at a time
     same = Window.partitionBy("gram")
-    ranked = _anchor_rows(docs).withColumn("low", F.min("doc").over(same)).withColumn("high", F.max("doc").over(same))
-    live = materialize(ranked.filter("low < high").drop("low", "high"), "live", release=True)
+    held = []
+    for part in range(PARTS):
+        ranked = _anchor_rows(docs, part, PARTS).withColumn("low", F.min("doc").over(same)).withColumn("high", F.max("doc").over(same))
+        held.append(materialize(ranked.filter("low < high").drop("low", "high"), "live", release=True))
+        del ranked
+    live = functools.reduce(DataFrame.unionByName, held)
     # rank of the whole reach
     reaches = live.groupBy("gram", "whole").agg(F.min(F.struct("doc", "tag", "span")).alias("head"), F.max("doc").alias("high"))
     reaches = materialize(reaches.select("gram", "whole", "head.*", "high"), "reaches", release=True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,10 @@ def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     path = fresh(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # Python's objects first, then what they held in the driver's JVM
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 
