@@ -209,28 +209,3 @@ def test_detection(spark):
 
 def test_timeline_and_assess():
     assert analysis.timeline([(1, 2), (2, 3), (1, 4), (4, 5), (5, 6)], 1) == [1, 2, 4, 3, 5]
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    from emberlog.streaming import follow
-
-    e = assemble.classify(source.from_text(spark, LOG, "app.log")).select("source", "line_no", "kind", F.coalesce(levels.normalize(F.col("m.level")), F.lit("INFO")).alias("level"), F.coalesce("m.module", F.lit("")).alias("module"), F.coalesce("m.message", "text").alias("message"))
-    rows = e.orderBy("line_no").collect()
-    for k in range(0, len(rows), 4):
-        spark.createDataFrame(rows[k : k + 4], e.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = follow.assemble(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), idle_ms=1)
-    q = stream.writeStream.format("memory").queryName("entries_out").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
-    try:
-        q.processAllAvailable()
-        import time
-
-        for _ in range(20):
-            if spark.table("entries_out").count() >= 6:
-                break
-            time.sleep(1)
-        got = sorted((r.line_no, r.last_line_no, r.n_stack, r.n_extra) for r in spark.table("entries_out").collect())
-    finally:
-        q.stop()
-    batch = assemble.entries(source.from_text(spark, LOG, "app.log"))
-    want = sorted((r.line_no, r.last_line_no, len(r.stack) - (1 if r.stack and r.stack[0] == "E1: bad" else 0), len(r.message_extra)) for r in batch.collect())
-    assert got == want[: len(got)] and len(got) >= len(want) - 1
