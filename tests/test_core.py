@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import levels, text, times
 from emberlog.operators import analysis, assemble, cluster, compare, evidence, filters, rules, timeline
-from emberlog.plans import report, session
 from emberlog.sources import lines as source
 from emberlog.sources import packed
 
@@ -117,23 +116,6 @@ def test_founders_equal_a_plain_loop():
             known.append(n)
 
 
-def test_causes_and_verdicts(spark):
-    result = session.analyze_text(spark, LOG)
-    assert result.verdict()["can_conclude"]
-    c = {r.summary[:6]: r for r in result.clusters.collect()}
-    assert c["Failed"].confidence == "CONFIRMED" and c["Failed"].cause == "java.net.ConnectException: refused"
-    plain = session.analyze_text(spark, "\n".join(f"2024-03-01 10:00:0{k} ERROR [m] connection refused timeout" for k in range(8)))
-    assert not plain.verdict()["can_conclude"] and plain.verdict()["verdict"] in ("LIKELY", "INSUFFICIENT")
-
-
-def test_reports(spark):
-    result = session.analyze_text(spark, LOG)
-    for kind in report.FORMATS:
-        assert "Failed to open" in report.export(result, kind)
-    with pytest.raises(ValueError):
-        report.export(result, "pdf")
-
-
 def test_filters(spark):
     e = assemble.entries(source.from_text(spark, LOG))
     n = lambda f: e.filter(filters.in_time(f) & filters.matches(f)).count()
