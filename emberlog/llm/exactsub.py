@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.scratch import materialize
+from emberlog.llm.scratch import materialize, remove
 from emberlog.llm.textnum import _BYTE, Texts, _powers, mix, slices
 
 WIDTH = 50
@@ -113,54 +113,84 @@ def _anchor_rows(docs: DataFrame, part: int, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, tag long, span long, gram long, whole long")
 
 
-def _string_rows(docs: DataFrame) -> DataFrame:
-    """whole, doc, place, rank: the WIDTH-byte strings in the wanted reaches, ranked by the pair of their halves' ranks.
-
-    docs: doc, text, wanted (array of struct(span, whole)); place counts from the start of the reach."""
+def _reach_bytes(docs: DataFrame) -> DataFrame:
+    """whole, doc, text: the bytes of the wanted reaches of docs (doc, text, wanted: array of struct(span, whole))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=SLICE):
             texts = Texts(batch.column(1))
-            prints = Prints(texts)
             lists = batch.column(2)
             bounds = lists.offsets.to_numpy().astype(np.int64)
             span, whole = (lists.values.field(k).to_numpy()[bounds[0] : bounds[-1]] for k in (0, 1))
             of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-            sizes = (span & ((1 << REACH_BITS) - 1)) - WIDTH + 1
-            place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.repeat((span >> REACH_BITS) + texts.offs[of], sizes) + place
+            sizes = span & ((1 << REACH_BITS) - 1)
+            offs = np.zeros(len(sizes) + 1, np.int64)
+            np.cumsum(sizes, out=offs[1:])
+            data = texts.data[np.repeat((span >> REACH_BITS) + texts.offs[of] - offs[:-1], sizes) + np.arange(offs[-1])]
+            text = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(whole), batch.column(0).take(pa.array(of)), text], names=["whole", "doc", "text"])
+
+    return docs.mapInArrow(run, "whole long, doc long, text binary")
+
+
+def _string_rows(reaches: DataFrame, part: int, parts: int) -> DataFrame:
+    """whole, doc, place, rank: the WIDTH-byte strings of the reaches (whole, doc, text) whose rank, a pair of their
+    halves' ranks, falls in one of so many parts; place counts from the start of the reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=SLICE):
+            texts = Texts(batch.column(2))
+            prints = Prints(texts)
+            sizes = np.diff(texts.offs) - WIDTH + 1
+            of = np.repeat(np.arange(len(texts)), sizes)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = texts.offs[of] + place
             rank = mix(prints.of(at, at + HALF) * np.uint64(3) + prints.of(at + HALF, at + WIDTH))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(whole, sizes)), batch.column(0).take(pa.array(np.repeat(of, sizes))), pa.array(place.astype(np.int32)), pa.array(rank.view(np.int64))], names=["whole", "doc", "place", "rank"])
+            own = np.flatnonzero(rank % np.uint64(parts) == part)
+            where = pa.array(of[own])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(place[own].astype(np.int32)), pa.array(rank[own].view(np.int64))], names=["whole", "doc", "place", "rank"])
 
-    return docs.mapInArrow(run, "whole long, doc long, place int, rank long")
+    return reaches.mapInArrow(run, "whole long, doc long, place int, rank long")
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """doc, tag, start, size: pieces of the texts (doc, tag, text) that stand in a smaller doc as well."""
-    # rank at GRAM bytes: a sort of all anchors, one part of the grams after the other, so that only a part is on disk at a time
-    same = Window.partitionBy("gram")
+    spark, scratch = docs.sparkSession, []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        held = materialize(df, label, release=True)
+        scratch.append(held)
+        return held
+
+    # Ranks at GRAM bytes and of the whole reach in one shuffle: a sort of all anchors by both, one part of the grams
+    # after the other, so that only a part is on disk at a time.  Of a reach that is equal to one in a smaller
+    # document all is covered; "single" are those of the first document where the gram has other reaches as well.
+    gram, reach = Window.partitionBy("gram"), Window.partitionBy("gram", "whole")
     held = []
     for part in range(PARTS):
-        ranked = _anchor_rows(docs, part, PARTS).withColumn("low", F.min("doc").over(same)).withColumn("high", F.max("doc").over(same))
-        held.append(materialize(ranked.filter("low < high").drop("low", "high"), "live", release=True))
+        ranked = _anchor_rows(docs, part, PARTS).repartition("gram").withColumn("head", F.min(F.struct("doc", "tag", "span")).over(reach))
+        for name, value in (("low", F.min("doc")), ("high", F.max("doc")), ("one", F.min("whole")), ("other", F.max("whole"))):
+            ranked = ranked.withColumn(name, value.over(gram))
+        later, single = F.col("doc") > F.col("head.doc"), (F.col("one") < F.col("other")) & (F.col("low") < F.col("high"))
+        ranked = ranked.filter(later | single)
+        held.append(keep(ranked.select("doc", "tag", "span", F.when(~later, F.col("whole")).alias("whole"), (~later & (F.struct("doc", "tag", "span") == F.col("head"))).alias("first")), "live"))
         del ranked
     live = functools.reduce(DataFrame.unionByName, held)
-    # rank of the whole reach
-    reaches = live.groupBy("gram", "whole").agg(F.min(F.struct("doc", "tag", "span")).alias("head"), F.max("doc").alias("high"))
-    reaches = materialize(reaches.select("gram", "whole", "head.*", "high"), "reaches", release=True)
-    size = F.col("span").bitwiseAND(F.lit((1 << REACH_BITS) - 1)).cast("int")
-    start = F.shiftright("span", REACH_BITS)
-    low = reaches.filter("doc < high").select("whole", "gram", F.col("doc").alias("low"))
-    later = live.join(low, ["whole", "gram"]).filter("doc > low").select("doc", "tag", start.alias("start"), size.alias("size"))
-    # anchors that stand in several reaches: rank their strings one by one, in the first document of each reach
-    many = reaches.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    wanted = reaches.join(many, "gram", "left_semi").groupBy("doc", "tag").agg(F.collect_list(F.struct("span", "whole")).alias("wanted"))
-    strings = _string_rows(docs.join(wanted, ["doc", "tag"]).select("doc", "text", "wanted"))
-    strings = materialize(strings.withColumn("low", F.min("doc").over(Window.partitionBy("rank"))).filter("doc > low").select("whole", "doc", "place"), "strings", release=True)
+    # anchors that stand in several reaches: rank the strings one by one, in the first document of each reach
+    wanted = live.filter("first").groupBy("doc", "tag").agg(F.collect_set(F.struct("span", "whole")).alias("wanted"))
+    reaches = keep(_reach_bytes(docs.join(wanted, ["doc", "tag"]).select("doc", "text", "wanted")), "reaches")
+    rank = Window.partitionBy("rank")
+    strings = functools.reduce(DataFrame.unionByName, [keep(_string_rows(reaches, part, PARTS).withColumn("low", F.min("doc").over(rank)).filter("doc > low").select("whole", "doc", "place"), "strings") for part in range(PARTS)])
     gone = strings.groupBy("whole", "doc").agg(F.collect_set("place").alias("places"))
     # wherever that document has this reach
-    single = live.join(gone, ["whole", "doc"]).select("doc", "tag", start.alias("from"), F.explode("places").alias("place")).select("doc", "tag", (F.col("from") + F.col("place")).alias("start"), F.lit(WIDTH).alias("size"))
-    return materialize(later.unionByName(single), "pieces", release=True)
+    size = F.col("span").bitwiseAND(F.lit((1 << REACH_BITS) - 1)).cast("int")
+    start = F.shiftright("span", REACH_BITS)
+    places = live.filter("whole IS NOT NULL").join(gone, ["whole", "doc"]).select("doc", "tag", start.alias("from"), F.explode("places").alias("place")).select("doc", "tag", (F.col("from") + F.col("place")).alias("start"), F.lit(WIDTH).alias("size"))
+    pieces = materialize(live.filter("whole IS NULL").select("doc", "tag", start.alias("start"), size.alias("size")).unionByName(places), "pieces", release=True)
+    for df in scratch:  # the pieces are written and need none of these
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(spark, path)
+    return pieces
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,5 +216,5 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (bytes)."""
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tag"))
-    pieces = covered(keyed.select("doc", "tag", "text")).groupBy("doc", "tag").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))).alias("pieces"))
+    pieces = covered(keyed.select("doc", "tag", "text")).groupBy("doc", "tag").agg(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))).alias("pieces"))
     return keyed.join(pieces, ["doc", "tag"], "left").select("doc_id", "text", "pieces").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
