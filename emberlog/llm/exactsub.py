@@ -44,6 +44,7 @@ GRAM = HALF
 REACH_BITS = 8
 SLICE = 1 << 20
 PARTS = 2
+HELD = 100_000
 LAST = (1 << 63) - 1  # the doc_id that stands for null
 
 
@@ -67,17 +68,16 @@ def anchors(texts: Texts, prints: Prints) -> tuple[np.ndarray, np.ndarray, np.nd
     if n < WIDTH:
         return none
     at = np.arange(n - GRAM + 1)
-    grams = prints.of(at, at + GRAM)
-    # the leftmost smallest of each run of grams, by doubling the length that is known
-    span = WIDTH - GRAM + 1
-    best, place = grams.copy(), at.astype(np.int32)
-    known = 1
+    grams = (prints.sums[GRAM:] - prints.sums[:-GRAM]) * prints.back[: len(at)]
+    # the leftmost smallest of each run of grams, by doubling the length that is known; places fill the low half, so
+    # grams that share the high half tie, and ties fall alike in equal strings
+    best = grams & np.uint64(0xFFFFFFFF00000000) | at.astype(np.uint64)
+    span, known = WIDTH - GRAM + 1, 1
     while known < span:
         step = min(known, span - known)
-        take = best[step:] < best[:-step]
-        place = np.where(take, place[step:], place[:-step])
-        best = np.where(take, best[step:], best[:-step])
+        best = np.minimum(best[step:], best[:-step])
         known += step
+    place = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
     # starts of strings that stay in their text
     sizes = np.maximum(np.diff(texts.offs) - WIDTH + 1, 0)
     total = int(sizes.sum())
@@ -91,7 +91,7 @@ def anchors(texts: Texts, prints: Prints) -> tuple[np.ndarray, np.ndarray, np.nd
     new[1:] = (chosen[1:] != chosen[:-1]) | (of[1:] != of[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:] - 1, total - 1)
-    return of[first], chosen[first].astype(np.int64), starts[first], starts[last], grams[chosen[first]]
+    return of[first], chosen[first], starts[first], starts[last], mix(grams[chosen[first]])
 
 
 def _anchor_rows(docs: DataFrame, part: int, parts: int) -> DataFrame:
@@ -113,6 +113,52 @@ def _anchor_rows(docs: DataFrame, part: int, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, tag long, span long, gram long, whole long")
 
 
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, tag, span, whole, first of anchors that come sorted by gram, whole, doc.
+
+    Those whose reach stands in a smaller document come with a null whole.  Of the others (in the first document of
+    their reach) those come whose gram has several reaches; first marks one for each reach.  Only what the next batch
+    needs is held: the last gram and reach, and rows whose gram has shown one reach so far (let through beyond HELD, as that
+    costs time but changes no result)."""
+
+    def rows(cols: list[np.ndarray], own: bool) -> pa.RecordBatch:
+        doc, tag, span, whole, first = cols
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), pa.array(span), pa.array(whole) if own else pa.nulls(len(doc), pa.int64()), pa.array(first)], names=["doc", "tag", "span", "whole", "first"])
+
+    last_gram = last_whole = head = None
+    only = False  # whether the last reach is the first one of its gram
+    waiting: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, tag, span, gram, whole = (c.to_numpy() for c in batch.columns)
+        new_gram, new_reach = np.ones(len(doc), bool), np.ones(len(doc), bool)
+        new_gram[1:] = gram[1:] != gram[:-1]
+        new_gram[0] = last_gram is None or gram[0] != last_gram
+        new_reach[1:] = new_gram[1:] | (whole[1:] != whole[:-1])
+        new_reach[0] = new_gram[0] or whole[0] != last_whole
+        g, r, begins = np.cumsum(new_gram), np.cumsum(new_reach), np.flatnonzero(new_reach)
+        heads = np.concatenate([[doc[0] if head is None else head], doc[begins]])
+        lone = np.concatenate([[only], new_gram[begins]])[r]
+        more = np.zeros(g[-1] + 1, bool)
+        more[g[new_reach & ~new_gram]] = True
+        later = doc > heads[r]
+        yield rows([c[later] for c in (doc, tag, span, whole, new_reach)], False)
+        if waiting and more[0]:
+            yield from (rows(w, True) for w in waiting)
+        if more[0] or g[-1] > 0:
+            waiting = []
+        ready = ~later & (~lone | more[g])
+        yield rows([c[ready] for c in (doc, tag, span, whole, new_reach)], True)
+        wait = ~later & lone & ~more[g] & (g == g[-1])
+        if wait.any():
+            waiting.append([c[wait] for c in (doc, tag, span, whole, new_reach)])
+            if sum(len(w[0]) for w in waiting) > HELD:
+                yield from (rows(w, True) for w in waiting)
+                waiting = []
+        last_gram, last_whole, head, only = gram[-1], whole[-1], heads[r[-1]], bool(lone[-1])
+
+
 def _reach_bytes(docs: DataFrame) -> DataFrame:
     """whole, doc, text: the bytes of the wanted reaches of docs (doc, text, wanted: array of struct(span, whole))."""
 
@@ -154,7 +200,7 @@ def _string_rows(reaches: DataFrame, part: int, parts: int) -> DataFrame:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc, tag, start, size: pieces of the texts (doc, tag, text) that stand in a smaller doc as well."""
+    """doc, tag, span (start and size): pieces of the texts (doc, tag, text) that stand in a smaller doc as well."""
     spark, scratch = docs.sparkSession, []
 
     def keep(df: DataFrame, label: str) -> DataFrame:
@@ -162,18 +208,12 @@ def covered(docs: DataFrame) -> DataFrame:
         scratch.append(held)
         return held
 
-    # Ranks at GRAM bytes and of the whole reach in one shuffle: a sort of all anchors by both, one part of the grams
-    # after the other, so that only a part is on disk at a time.  Of a reach that is equal to one in a smaller
-    # document all is covered; "single" are those of the first document where the gram has other reaches as well.
-    gram, reach = Window.partitionBy("gram"), Window.partitionBy("gram", "whole")
+    # Ranks at GRAM bytes and of the whole reach in one sort of all anchors by both, one part of the grams after the
+    # other, so that only a part is on disk at a time
     held = []
     for part in range(PARTS):
-        ranked = _anchor_rows(docs, part, PARTS).repartition("gram").withColumn("head", F.min(F.struct("doc", "tag", "span")).over(reach))
-        for name, value in (("low", F.min("doc")), ("high", F.max("doc")), ("one", F.min("whole")), ("other", F.max("whole"))):
-            ranked = ranked.withColumn(name, value.over(gram))
-        later, single = F.col("doc") > F.col("head.doc"), (F.col("one") < F.col("other")) & (F.col("low") < F.col("high"))
-        ranked = ranked.filter(later | single)
-        held.append(keep(ranked.select("doc", "tag", "span", F.when(~later, F.col("whole")).alias("whole"), (~later & (F.struct("doc", "tag", "span") == F.col("head"))).alias("first")), "live"))
+        ranked = _anchor_rows(docs, part, PARTS).repartition("gram").sortWithinPartitions("gram", "whole", "doc")
+        held.append(keep(ranked.mapInArrow(_ranked, "doc long, tag long, span long, whole long, first boolean"), "live"))
         del ranked
     live = functools.reduce(DataFrame.unionByName, held)
     # anchors that stand in several reaches: rank the strings one by one, in the first document of each reach
@@ -183,10 +223,10 @@ def covered(docs: DataFrame) -> DataFrame:
     strings = functools.reduce(DataFrame.unionByName, [keep(_string_rows(reaches, part, PARTS).withColumn("low", F.min("doc").over(rank)).filter("doc > low").select("whole", "doc", "place"), "strings") for part in range(PARTS)])
     gone = strings.groupBy("whole", "doc").agg(F.collect_set("place").alias("places"))
     # wherever that document has this reach
-    size = F.col("span").bitwiseAND(F.lit((1 << REACH_BITS) - 1)).cast("int")
     start = F.shiftright("span", REACH_BITS)
-    places = live.filter("whole IS NOT NULL").join(gone, ["whole", "doc"]).select("doc", "tag", start.alias("from"), F.explode("places").alias("place")).select("doc", "tag", (F.col("from") + F.col("place")).alias("start"), F.lit(WIDTH).alias("size"))
-    pieces = materialize(live.filter("whole IS NULL").select("doc", "tag", start.alias("start"), size.alias("size")).unionByName(places), "pieces", release=True)
+    places = live.filter("whole IS NOT NULL").join(gone, ["whole", "doc"]).select("doc", "tag", start.alias("start"), F.explode("places").alias("place"))
+    places = places.select("doc", "tag", F.shiftleft(F.col("start") + F.col("place"), REACH_BITS).bitwiseOR(F.lit(WIDTH)).alias("span"))
+    pieces = materialize(live.filter("whole IS NULL").select("doc", "tag", "span").unionByName(places), "pieces", release=True)
     for df in scratch:  # the pieces are written and need none of these
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             remove(spark, path)
@@ -201,7 +241,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.as_buffer() if text.is_valid else b""
             kept, removed, spans = raw, 0, 0
             if pieces.is_valid and len(pieces.values):
-                start, size = (pieces.values.field(k).to_numpy() for k in (0, 1))
+                span = pieces.values.to_numpy()
+                start, size = span >> REACH_BITS, span & ((1 << REACH_BITS) - 1)
                 marks = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(marks, start, 1)
                 np.add.at(marks, start + size, -1)
@@ -216,5 +257,5 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (bytes)."""
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tag"))
-    pieces = covered(keyed.select("doc", "tag", "text")).groupBy("doc", "tag").agg(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))).alias("pieces"))
+    pieces = covered(keyed.select("doc", "tag", "text")).groupBy("doc", "tag").agg(F.collect_set("span").alias("pieces"))
     return keyed.join(pieces, ["doc", "tag"], "left").select("doc_id", "text", "pieces").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

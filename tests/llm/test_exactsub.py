@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
+
 from emberlog.llm import exactsub
 
 
@@ -59,3 +61,21 @@ def test_a_reach_that_repeats_in_its_first_document(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_ranking_does_not_depend_on_batches():
+    r = random.Random(8)
+    table = sorted((r.randrange(40), r.randrange(3), r.randrange(6), r.randrange(2), k << 8 | 60) for k in range(600))
+    cols = [[t[k] for t in table] for k in (2, 3, 4, 0, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "tag", "span", "gram", "whole"])
+    seen = set()
+    for size in (1, 2, 7, 600):
+        out = [x for b in exactsub._ranked(batch.slice(k, size) for k in range(0, 600, size)) for x in b.to_pylist()]
+        seen.add(tuple(sorted((x["span"], x["whole"] is None, x["first"]) for x in out if x["whole"] is not None or not x["first"])))
+    assert len(seen) == 1
+    head = {}
+    for g, w, d, _, _ in table:
+        head[g, w] = min(d, head.get((g, w), d))
+    reaches = {g: sum(k[0] == g for k in head) for g in range(40)}
+    want = {(s, d > head[g, w]) for g, w, d, _, s in table if d > head[g, w] or reaches[g] > 1}
+    assert {(s, null) for s, null, _ in seen.pop()} == want
