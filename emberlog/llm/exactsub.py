@@ -94,9 +94,22 @@ def anchors(texts: Texts, prints: Prints) -> tuple[np.ndarray, np.ndarray, np.nd
     return of[first], chosen[first], starts[first], starts[last], mix(grams[chosen[first]])
 
 
+def _settled(whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the same reach stands in a smaller document of the same batch, which settles it before any shuffle."""
+    order = np.lexsort((doc, whole))
+    new = np.ones(len(order), bool)
+    new[1:] = whole[order[1:]] != whole[order[:-1]]
+    begins = np.flatnonzero(new)
+    out = np.zeros(len(order), bool)
+    if len(order):
+        out[order] = doc[order] > doc[order[begins]][np.cumsum(new) - 1]
+    return out
+
+
 def _anchor_rows(docs: DataFrame, part: int, parts: int) -> DataFrame:
     """doc, tag, span (start and reach: bytes of all strings of the anchor), gram, whole (fingerprints of anchor and
-    reach), of the anchors whose gram falls in one of so many parts."""
+    reach), of the anchors whose gram falls in one of so many parts.  Settled ones have a null whole and a gram
+    of their own, so that the copies of one text are dealt over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=SLICE):
@@ -108,7 +121,10 @@ def _anchor_rows(docs: DataFrame, part: int, parts: int) -> DataFrame:
             whole = prints.of(first, last + WIDTH) + mix((at - first).astype(np.uint64) + np.uint64(1))
             span = (first - texts.offs[of]) << REACH_BITS | (last - first + WIDTH)
             where = pa.array(of)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(span), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64))], names=["doc", "tag", "span", "gram", "whole"])
+            doc = batch.column(0).take(where)
+            settled = _settled(whole, doc.to_numpy())
+            gram = np.where(settled, mix(whole + mix(span.astype(np.uint64) + at.astype(np.uint64))), gram)
+            yield pa.RecordBatch.from_arrays([doc, batch.column(1).take(where), pa.array(span), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64), mask=settled)], names=["doc", "tag", "span", "gram", "whole"])
 
     return docs.mapInArrow(run, "doc long, tag long, span long, gram long, whole long")
 
@@ -116,7 +132,7 @@ def _anchor_rows(docs: DataFrame, part: int, parts: int) -> DataFrame:
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, tag, span, whole, first of anchors that come sorted by gram, whole, doc.
 
-    Those whose reach stands in a smaller document come with a null whole.  Of the others (in the first document of
+    Those whose reach stands in a smaller document come with a null whole, as settled ones came.  Of the others (in the first document of
     their reach) those come whose gram has several reaches; first marks one for each reach.  Only what the next batch
     needs is held: the last gram and reach, and rows whose gram has shown one reach so far (let through beyond HELD, as that
     costs time but changes no result)."""
@@ -129,6 +145,11 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only = False  # whether the last reach is the first one of its gram
     waiting: list[list[np.ndarray]] = []
     for batch in batches:
+        settled = batch.column(4).is_null()
+        if settled.true_count:
+            doc, tag, span = (batch.column(k).filter(settled).to_numpy() for k in range(3))
+            yield rows([doc, tag, span, None, np.zeros(len(doc), bool)], False)
+            batch = batch.filter(batch.column(4).is_valid())
         if not batch.num_rows:
             continue
         doc, tag, span, gram, whole = (c.to_numpy() for c in batch.columns)
