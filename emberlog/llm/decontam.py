@@ -5,7 +5,8 @@ seeds are its GRAM-word runs that are rare in the corpus: those in at most RARE
 documents, and always the rarer half of them, so an item that was copied a million times
 keeps its seeds.  Where a document holds a seed, the passage around it is aligned with
 the item word by word (match 2, mismatch -1, gap -1); the score is the best local
-alignment over that of a whole copy, 1 for an exact one.
+alignment over that of a whole copy, 1 for an exact one.  A passage is as wide as the gaps
+go that the threshold leaves room for, so it holds every alignment through the seed that reaches it.
 
 Test items come to the driver in blocks of BLOCK_ITEMS (with MAX_WORDS words at most in a
 block), and each block passes over the corpus once more: what is broadcast never grows
@@ -26,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.textnum import Texts, slices, windows
+from emberlog.llm.textnum import Texts, mix, slices, windows
 
 GRAM = 3
 RARE = 1e-4
 THRESHOLD = 0.55
 BLOCK_ITEMS = 20_000
 MAX_WORDS = 4_000_000
-SLACK = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 BATCH = 256
+#: Longer passages are aligned in pieces of so many starting words; a batch holds at most CELLS of padded words.
+PIECE = 2048
+CELLS = 1 << 18
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -107,14 +110,19 @@ def align(items: np.ndarray, sizes: np.ndarray, passages: np.ndarray) -> tuple[n
     return best, start, stop
 
 
-def _hits(block: Items, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(document, item, diagonal) of each place where a document holds a seed, sorted, without repeats
-    within SLACK diagonals."""
+def gaps(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """The most words that an alignment scoring threshold can insert or leave out, by item size."""
+    return np.ceil(MATCH * sizes * (1 - min(threshold, 1.0)) / -GAP).astype(np.int64)
+
+
+def _hits(block: Items, words: np.ndarray, first: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """(document, item, diagonal, last diagonal) of the places where a document holds a seed, sorted;
+    diagonals whose passages (reach words, by item) overlap are one row."""
     grams, at = windows(words, first, GRAM)
     left = np.searchsorted(block.grams, grams, side="left")
     hit = np.flatnonzero((left < len(block.grams)) & (block.grams[np.minimum(left, max(len(block.grams) - 1, 0))] == grams)) if len(block.grams) else np.zeros(0, np.int64)
     if not len(hit):
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 4), np.int64)
     low, high = left[hit], np.searchsorted(block.grams, grams[hit], side="right")
     counts = high - low
     which = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
@@ -123,32 +131,65 @@ def _hits(block: Items, words: np.ndarray, first: np.ndarray) -> np.ndarray:
     rows = np.stack([doc, block.item[which], place - first[doc] - block.place[which]], axis=1)
     rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
     new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] > rows[:-1, 2] + SLACK)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] > rows[:-1, 2] + reach[rows[1:, 1]])
     # a chain of close diagonals is one passage: its first to its last
     ends = np.append(np.flatnonzero(new)[1:] - 1, len(rows) - 1)
     return np.concatenate([rows[new], rows[ends, 2:]], axis=1)
 
 
-def _scores(block: Items, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, int, int]]:
-    """(document, item, score, first word, last word + 1) of the best passage of each pair."""
-    hits = _hits(block, words, first)
-    if not len(hits):
-        return []
+def _passages(block: Items, words: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Document, item, and first and last + 1 word of each passage that may score threshold."""
     sizes = np.diff(block.first)
+    slack = gaps(sizes, threshold)
+    hits = _hits(block, words, first, sizes + 2 * slack)
+    doc, item = hits[:, 0], hits[:, 1]
+    low = np.maximum(hits[:, 2] - slack[item], 0)
+    high = np.minimum(hits[:, 3] + sizes[item] + slack[item], np.diff(first)[doc])
+    # no alignment covers more than its item's words and the gaps: pieces that overlap by as much lose none
+    step = np.maximum(PIECE, sizes + slack)[item]
+    n = np.maximum(1, -(-(high - low - sizes[item] - slack[item]) // step))
+    row = np.repeat(np.arange(len(hits)), n)
+    low = low[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step[row]
+    doc, item, step = doc[row], item[row], step[row]
+    high = np.minimum(high[row], low + step + sizes[item] + slack[item])
+
+    def laid(start: np.ndarray, count: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of = np.repeat(np.arange(len(count)), count)
+        return of, held[np.arange(len(of)) + np.repeat(start - np.cumsum(count) + count, count)]
+
+    # only item words that stand in the passage can match
+    may = np.zeros(len(doc), bool)
+    for at in range(0, len(doc), BATCH):
+        part = slice(at, at + BATCH)
+        of, a = laid(block.first[item[part]], sizes[item[part]], block.words)
+        by, b = laid(first[doc[part]] + low[part], (high - low)[part], words)
+        salt = mix(np.arange(1, len(may[part]) + 1, dtype=np.uint64))
+        there = np.sort(b ^ salt[by])
+        key = a ^ salt[of]
+        found = np.searchsorted(there, key)
+        same = (found < len(there)) & (there[np.minimum(found, max(len(there) - 1, 0))] == key) if len(there) else np.zeros(len(key), bool)
+        may[part] = np.bincount(of[same], minlength=len(may[part])) >= threshold * sizes[item[part]] - 1e-9
+    return doc[may], item[may], low[may], high[may]
+
+
+def _scores(block: Items, words: np.ndarray, first: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float, int, int]]:
+    """(document, item, score, first word, last word + 1) of the best passage of each pair that may score threshold."""
+    doc, item, low, high = _passages(block, words, first, threshold)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    low = np.maximum(hits[:, 2] - SLACK, 0)
-    high = np.minimum(hits[:, 3] + sizes[hits[:, 1]] + SLACK, np.diff(first)[hits[:, 0]])
-    order = np.lexsort((high - low, sizes[hits[:, 1]]))
-    for k in range(0, len(order), BATCH):
-        pick = order[k : k + BATCH]
-        m, w = int(sizes[hits[pick, 1]].max()), int((high - low)[pick].max())
-        cols, wide = np.arange(m), np.arange(w)
-        n = sizes[hits[pick, 1]]
-        a = np.where(cols < n[:, None], block.words[np.minimum(block.first[hits[pick, 1]][:, None] + cols, len(block.words) - 1)], 0)
-        b = np.where(wide < (high - low)[pick][:, None], words[np.minimum((first[hits[pick, 0]] + low[pick])[:, None] + wide, len(words) - 1)], 0)
+    sizes, width = np.diff(block.first)[item], high - low
+    order = np.lexsort((width, sizes))
+    k = 0
+    while k < len(order):
+        wide = np.maximum.accumulate(width[order[k : k + BATCH]])
+        pick = order[k : k + max(1, int(np.searchsorted(wide * np.arange(1, len(wide) + 1), CELLS, side="right")))]
+        k += len(pick)
+        m, w, n = int(sizes[pick].max()), int(width[pick].max()), sizes[pick]
+        cols, places = np.arange(m), np.arange(w)
+        a = np.where(cols < n[:, None], block.words[np.minimum(block.first[item[pick]][:, None] + cols, len(block.words) - 1)], 0)
+        b = np.where(places < width[pick][:, None], words[np.minimum((first[doc[pick]] + low[pick])[:, None] + places, len(words) - 1)], 0)
         got, start, stop = align(a, n, b)
         for j, row in enumerate(pick.tolist()):
-            key = (int(hits[row, 0]), int(hits[row, 1]))
+            key = (int(doc[row]), int(item[row]))
             found = (float(got[j]) / (MATCH * int(n[j])), int(low[row] + start[j]), int(low[row] + stop[j]))
             if found > best.get(key, (0.0, 0, 0)):
                 best[key] = found
@@ -228,7 +269,7 @@ def _matcher(sent, threshold: float):
         block = sent.value
         for batch in slices(batches):
             words, first = words_of(Texts(batch.column(1)))
-            rows = [r for r in _scores(block, words, first) if r[2] >= threshold]
+            rows = [r for r in _scores(block, words, first, threshold) if r[2] >= threshold]
             docs = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([docs, pa.array([int(block.ids[r[1]]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())], names=["doc_id", "item_id", "score", "first_word", "last_word"])
 

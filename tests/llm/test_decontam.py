@@ -53,3 +53,28 @@ def test_copies_and_edits_are_found_and_clean_texts_left(spark):
     assert all(got[p].score == 1.0 for p in planted if p[0] % 2)
     assert decontam.decontaminate(df, bench).count() == len(docs) - len({d for d, _ in planted})
     assert decontam.matches(df.limit(0), bench).count() == 0 and decontam.matches(df, bench.limit(0)).count() == 0
+
+
+def test_long_insertions_and_deletions_score_as_over_the_whole_document(spark):
+    r = random.Random(21)
+    vocabulary = [f"{a}{b}{k}" for a in ("ka", "lo", "mi") for b in ("ra", "to", "su") for k in range(60)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [text(n) for n in (59, 40, 30, 24, 16, 80)]
+    docs = []
+    for k, item in enumerate(items):
+        n = len(item)
+        for put in (0, n // 4, 3 * n // 7, 4 * n // 5, 6 * n // 7):
+            docs.append(text(40) + item[: n // 2] + text(put) + item[n // 2 :] + text(40))
+            docs.append(text(30) + item[: n // 3] + text(put // 2) + item[n // 3 : n // 2] + text(put // 3) + item[n // 2 :])
+        docs.append(text(10) + item[: n // 3] + item[n // 2 :] + text(10))
+        docs.append(item[: n // 3] + text(5000) + item[n // 3 :] + text(3000) + item)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    want = {}
+    for d, body in enumerate(docs):
+        for k in range(len(items)) if len(body) < 1000 else [d // 12]:
+            score = smith_waterman(items[k], body) / (2 * len(items[k]))
+            if score >= decontam.THRESHOLD:
+                want[d, k] = score
+    got = {(x.doc_id, x.item_id): x.score for x in decontam.matches(df, bench).collect()}
+    assert got == want and len(want) > 50
