@@ -30,7 +30,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+_CORE = "[A-Za-z0-9+/_-]"
+#: 20 or more characters; "=" only where no other token character follows.
+TOKEN = rf"(?=[A-Za-z0-9+/_=-]{{20}})(?:{_CORE}{{20,}}+(?:=++(?!{_CORE}))?|{_CORE}++=++(?!{_CORE}))"
 #: How much more frequent equal pairs are in text than under a uniform alphabet.
 TEXT = 1.7
 #: A test of the battery rejects randomness below this p-value.
