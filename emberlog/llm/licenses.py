@@ -3,9 +3,10 @@
 A notice of L characters may differ by up to (L + 1) // 12 edits.  Cut into one piece more than
 edits, at least one piece must stand unchanged (pigeonhole), so an automaton over the
 pieces of all notices gives the places worth a look, and the regex library's
-bounded-error matching decides there, within the widest window the edits allow.
-A fuzzy match begins and ends at word bounds of the normalised text: lower-case words
-joined by single spaces.
+bounded-error matching decides there on every stretch of whole words, within the widest
+window the edits allow.  A fuzzy match begins and ends at word bounds of the normalised text:
+lower-case words joined by single spaces.  Of overlapping matches of a notice the one with
+the fewest edits stands, then the leftmost, then the shortest.
 
 Cases: a null or empty text has no words, no match and score 0; repeated rows are
 scanned alike; an empty table gives an empty table; other columns are ignored.
@@ -13,6 +14,7 @@ scanned alike; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -99,6 +101,19 @@ def exact(joined: bytes) -> list[tuple[int, str]]:
     return out
 
 
+def _bounds(text: str, low: int, high: int) -> tuple[list[int], list[int]]:
+    """Where words start and end in text[low:high]."""
+    starts, ends = [low] if low == 0 or text[low - 1] == " " else [], []
+    at = text.find(" ", low, high)
+    while at >= 0:
+        ends.append(at)
+        starts.append(at + 1)
+        at = text.find(" ", at + 1, high)
+    if high == len(text) or text[high] == " ":
+        ends.append(high)
+    return starts, ends
+
+
 def fuzzy(text: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[int, int, str, int]]:
     """Best matches of notices in a normalised text: (start, end, label, edits), no two of one notice overlapping."""
     automaton, patterns = _compiled(notices)
@@ -115,18 +130,20 @@ def fuzzy(text: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tup
                 held.append([low, high])
     out = []
     for k, spans in windows.items():
+        notice, label = notices[k]
+        slack, near = allowed(notice), []
         for low, high in spans:
-            at = low
-            while (m := patterns[k].search(text, at, high)) is not None:
-                a, b = m.span()
-                edits = sum(m.fuzzy_counts)
-                while a < b and text[a] == " ":
-                    a += 1
-                while b > a and text[b - 1] == " ":
-                    b -= 1
-                if a < b and (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " "):
-                    out.append((a, b, notices[k][1], edits))
-                at = max(m.end(), at + 1)
+            starts, ends = _bounds(text, low, high)
+            for a in starts:
+                for b in ends[bisect.bisect_left(ends, a + len(notice) - slack) : bisect.bisect_right(ends, a + len(notice) + slack)]:
+                    if (m := patterns[k].fullmatch(text, a, b)) is not None:
+                        near.append((sum(m.fuzzy_counts), a, b))
+        taken: list[tuple[int, int]] = []
+        for edits, a, b in sorted(near):
+            at = bisect.bisect_left(taken, (a, b))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b))
+                out.append((a, b, label, edits))
     return sorted(out)
 
 

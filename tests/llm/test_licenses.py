@@ -42,3 +42,44 @@ def test_plain_texts_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "The permit was licensed and read by all right people in general public")], "doc_id long, text string")
     assert licenses.scan(df).first().labels == ""
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_fuzzy_equals_all_word_stretches():
+    r = random.Random(12)
+    few = tuple(x for x in licenses.NOTICES if len(x[0]) < 30)
+    texts = ["mit licenses", "amit license", "mit licence or mit license", "mit licence and permit licenses", "mit license mit license", "mit licens mit license", ""]
+    for _ in range(150):
+        words = []
+        for _ in range(r.randrange(1, 4)):
+            notice = list(r.choice(few)[0])
+            for _ in range(r.randrange(3)):
+                at = r.randrange(len(notice))
+                notice[at] = r.choice(["", "x", notice[at] + "s", " ", "l"])
+            words += ["".join(notice), *r.choices(["the", "a", "mit", "license", "é"], k=r.randrange(3))]
+        texts.append(" ".join(" ".join(words).split()))
+    some = 0
+    for text in texts:
+        starts = [k for k in range(len(text)) if text[k] != " " and (k == 0 or text[k - 1] == " ")]
+        ends = [k for k in range(1, len(text) + 1) if text[k - 1] != " " and (k == len(text) or text[k] == " ")]
+        want = []
+        for notice, label in few:
+            most = licenses.allowed(notice)
+            near = [(distance(notice, text[a:b]), a, b) for a in starts for b in ends if abs(b - a - len(notice)) <= most]
+            taken = []
+            for edits, a, b in sorted(near):
+                if edits <= most and all(b <= c or d <= a for c, d in taken):
+                    taken.append((a, b))
+                    want.append((a, b, label, edits))
+        assert licenses.fuzzy(text, few) == sorted(want), text
+        some += len(want)
+    assert some > 150
+    assert [x[:2] for x in licenses.fuzzy("mit licence or mit license") if x[2] == "mit"] == [(0, 11), (15, 26)]
