@@ -3,8 +3,8 @@
 The field labels words by their shapes (digits, letters, punctuation, a few cue words) and those of
 two words to either side.  It is trained here, on a small labelled table that ``training_table``
 writes from templates (SENTENCES of them: a fixed bound), by gradient ascent on the likelihood; the
-best labels come from Viterbi's recursion, over many word runs at a time in numpy.  Runs are
-words within REACH of a cue word or of a word with two digits; elsewhere no label but "other" is possible.
+best labels come from Viterbi's recursion over whole texts, many at a time in numpy: a text of n
+words takes n steps, which short texts share.
 
 Cases: a null or empty text has no span; repeated rows are scanned alike; an empty
 table gives an empty table; other columns are ignored.
@@ -28,7 +28,6 @@ KINDS = ("email", "ip", "card", "phone")
 MORE = ("local_phone", "id_number", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in MORE for p in "BI"))
 SENTENCES = 1500
-REACH = 4
 OFFSETS = (-2, -1, 0, 1, 2)
 CUES = ("mr", "mrs", "ms", "dr", "name", "named", "contact", "phone", "tel", "telephone", "call", "mobile", "fax", "ssn", "passport", "id", "born", "signed", "dear", "social", "security", "number")
 SHAPES = 7 * 4 * 5
@@ -98,8 +97,8 @@ def _cue_hashes() -> np.ndarray:
     return t.hashes(t.offs[:-1], t.offs[1:], fold=True)
 
 
-def shapes(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: shape code, trimmed start and end (bytes), and whether it is a trigger."""
+def shapes(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: shape code, and trimmed start and end (bytes)."""
     starts, ends, _ = texts.words()
     kinds = _CLASS[texts.data]
 
@@ -128,25 +127,7 @@ def shapes(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     at = np.minimum(np.searchsorted(cues[order], hashes), len(cues) - 1)
     cue = cues[order][at] == hashes
     code = np.where(cue, SHAPES + order[at], code)
-    return code, a, b, cue | (digits >= 2)
-
-
-def runs(trigger: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of word runs within REACH of a trigger; runs don't cross texts."""
-    n = len(trigger)
-    marks = np.zeros(n + 1, np.int32)
-    at = np.flatnonzero(trigger)
-    of = np.searchsorted(first, at, side="right") - 1
-    np.add.at(marks, np.maximum(at - REACH, first[of]), 1)
-    np.add.at(marks, np.minimum(at + REACH + 1, first[of + 1]), -1)
-    inside = np.cumsum(marks[:-1]) > 0
-    begin, end = inside.copy(), inside.copy()
-    if n:
-        edge = np.zeros(n + 1, bool)
-        edge[first] = True
-        begin[1:] &= ~inside[:-1] | edge[1:n]
-        end[:-1] &= ~inside[1:] | edge[1:n]
-    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return code, a, b
 
 
 # ---------------------------------------------------------------- the field
@@ -175,7 +156,7 @@ class Field:
         return out
 
     def viterbi(self, code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The best labels (n, t) of padded runs."""
+        """The best labels (n, t) of padded texts."""
         s, move = self.scores(code), self.move + self.ban
         n, t, k = s.shape
         back = np.zeros((n, t, k), np.int8)
@@ -270,7 +251,7 @@ def training_table(seed: int = 1, n: int = SENTENCES) -> list[list[tuple[str, st
 
 def _padded(table: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texts = Texts(pa.array([" ".join(w for w, _ in row) for row in table]))
-    code, _, _, _ = shapes(texts)
+    code, _, _ = shapes(texts)
     first = texts.words()[2]
     sizes = np.diff(first)
     codes = np.full((len(table), sizes.max()), SHAPES + len(CUES), np.int64)
@@ -309,9 +290,10 @@ def _valid(kind: str, words: list[bytes]) -> bool:
 def field_spans(texts: Texts, field: Field, chunk: int = 4096) -> list[list[tuple[int, int, int]]]:
     """Per text (start, kind, end) of the spans that the field finds, in code points."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
-    code, a, b, trigger = shapes(texts)
+    code, a, b = shapes(texts)
     first = texts.words()[2]
-    begin, end = runs(trigger, first)
+    worded = np.diff(first) > 0
+    begin, end = first[:-1][worded], first[1:][worded]
     if not len(begin):
         return out
     letters = np.zeros(len(texts.data) + 1, np.int64)

@@ -82,3 +82,31 @@ def test_spans_of_the_field():
     spans = pii.field_spans(Texts(pa.array([None, text, ""])), pii.trained())
     assert spans[0] == spans[2] == []
     assert {(pii.MORE[k - 4], text[a:b]) for a, k, b in spans[1]} >= {("id_number", "123-45-6789"), ("person", "Anders Kellmann")}
+
+
+def test_field_is_decoded_over_whole_texts():
+    r = random.Random(31)
+    field = pii.Field(pii.SHAPES + len(pii.CUES))
+    g = np.random.default_rng(4)
+    field.emit, field.move = g.normal(0, 1, field.emit.shape), g.normal(0, 1, field.move.shape)
+    bits = ["written", "by", "Maria", "Gonzalez", "for", "Ünder", "council", "(555)", "123-4567", "contact", "123", "45", "6789", "a@b.co", "x,"]
+    texts = [" ".join(r.choice(bits[:8] if k % 2 else bits) for _ in range(r.randrange(60))) for k in range(60)] + [None, "", "written by Maria Gonzalez for the council"]
+    for f in (field, pii.trained()):
+        got, far = pii.field_spans(Texts(pa.array(texts)), f), 0
+        for text, spans in zip(texts, got):
+            one = Texts(pa.array([text or ""]))
+            code, a, b = pii.shapes(one)
+            labels = [pii.LABELS[x] for x in f.viterbi(code[None, :], np.array([len(code)]))[0]] if len(code) else []
+            want, j = [], 0
+            while j < len(labels):
+                stop = j + 1
+                if labels[j][0] == "B":
+                    while stop < len(labels) and labels[stop] == "I" + labels[j][1:]:
+                        stop += 1
+                    if pii._valid(labels[j][2:], [one.data[a[w] : b[w]].tobytes() for w in range(j, stop)]):
+                        place = lambda at: len(one.data[:at].tobytes().decode())
+                        want.append((place(a[j]), 4 + pii.MORE.index(labels[j][2:]), place(b[stop - 1])))
+                        far += 1
+                j = stop
+            assert spans == want, text
+        assert far
