@@ -178,7 +178,7 @@ def logfmt_parse(spark, sf_dir):
 
 @query(None)
 def rule_scores(spark, sf_dir):
-    return rules.scores(source.sample(document_lines(spark, sf_dir), 6))
+    return rules.scores(source.sample(document_lines(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ filters
