@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,20 +37,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberlog.llm.scratch import fresh, materialize
-from emberlog.llm.textnum import slices
+from emberlog.llm.textnum import Texts, slices
 
 MAGIC = b"EMBPFOR1"
 BLOCK = 256
 GROUP = 1024
 PERCENTILE = 0.95
-CACHE_PIECES = 700_000
-CACHE_PARTS = 200_000
+CACHE_PIECES = 200_000
+CACHE_PARTS = 2_000_000
 SHARD_BYTES = 64 << 20
 TIED = re.compile(r"\s (?:\s|\Z)")  # a space that may belong to the white space on both sides
-# Fixed values of byte-level BPE: how texts are split (here for plain characters only), and the
+# Fixed values of byte-level BPE: what plain texts are made of, the classes of their bytes (0: all else), and the
 # characters that stand for the 256 bytes: printable ones for themselves, the rest from 256 on.
-PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]*")
-PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \nA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \n]+(?![^ \n])|[ \n]+")
+PLAIN = r"\A[\t-\r -~À-ÖØ-öø-ÿ]*\z"
+LETTERS, DIGITS, SPACES = 1, 2, 3
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTERS
+KIND[48:58] = DIGITS
+KIND[[9, 10, 11, 12, 13, 32]] = SPACES
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = "".join(chr(b if b in _SELF else 256 + [x for x in range(256) if x not in _SELF].index(b)) for b in range(256))
 _U64 = np.uint64
@@ -237,15 +242,89 @@ class ShardReader:
 # ---------------------------------------------------------------- tokenizing
 
 
+def parts_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the parts that byte-level BPE splits plain texts into, and per text the
+    number of its first part (n + 1 values).
+
+    A part is a run of one class: letters, digits, white space or all else.  A space before another class
+    belongs to that run; of more white space the last character stands alone (or is that space).  An apostrophe
+    that begins a part takes s, t, m, d, re, ve or ll with it.
+    """
+    data = texts.data
+    n = len(data)
+    kind = KIND[data]
+    text_start = np.zeros(n + 1, bool)
+    text_start[texts.offs] = True
+    begin = text_start.copy()
+    begin[1:n] |= kind[1:] != kind[:-1]
+    # white space that other characters of the same text follow
+    before = np.flatnonzero((kind[:-1] == SPACES) & (kind[1:] != SPACES) & ~text_start[1:n]) if n else np.zeros(0, np.int64)
+    begin[before] = True
+    begin[before[data[before] == 32] + 1] = False
+    # apostrophes that begin a part of their own, and the letters they take
+    quote = np.flatnonzero(begin[:n] & (data == 39))
+    wide = np.concatenate([data, np.zeros(2, np.uint8)])
+    ended = np.concatenate([text_start, np.ones(2, bool)])
+    one, two = wide[quote + 1], wide[quote + 2]
+    same = ~ended[quote + 1]
+    single = same & np.isin(one, list(b"stmd"))
+    double = same & ~ended[quote + 2] & (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108))
+    begin[quote[single | double] + 1] = False
+    begin[quote[single] + 2] = True
+    begin[np.minimum(quote[double] + 3, n)] = True
+    starts = np.flatnonzero(begin[:n])
+    return starts, np.append(starts[1:], n)[: len(starts)], np.searchsorted(starts, texts.offs)
+
+
+class Known:
+    """What is known of parts, by their 64-bit hash: an open-addressing table of numbers, all lookups at once."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.n = bits, 0
+        self.keys, self.numbers = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        slot = (keys >> _U64(64 - self.bits)).astype(np.int64)
+        live = np.arange(len(keys))
+        while len(live):
+            held = self.numbers[slot]
+            hit = self.keys[slot] == keys[live]
+            out[live] = np.where(hit, held, -1)
+            on = ~hit & (held >= 0)
+            live, slot = live[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number new and distinct keys from n on."""
+        while 2 * (self.n + len(keys)) > len(self.keys):
+            old = self.keys[self.numbers >= 0], self.numbers[self.numbers >= 0]
+            self.bits += 1
+            self.keys, self.numbers = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+            self._place(*old)
+        self._place(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+    def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        slot = (keys >> _U64(64 - self.bits)).astype(np.int64)
+        live = np.arange(len(keys))
+        while len(live):
+            free = self.numbers[slot] < 0
+            self.numbers[slot[free]] = numbers[live[free]]  # of several for one slot the last one stays
+            won = self.numbers[slot] == numbers[live]
+            self.keys[slot[won]] = keys[live[won]]
+            live, slot = live[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+
 class PieceTokenizer:
-    """A byte-level BPE tokenizer that remembers the ids of pieces between spaces.
-
-    Its splitting pattern always cuts before a space that has a character other
-    than white space on either side, so a text's ids are those of its pieces, one
-    after the other; pieces that only white space joins are kept together.  A new piece of
-    plain characters (ASCII, Latin-1 letters) is split by the same pattern here, its
-    parts go to the library's BPE model and are remembered too; any other new piece goes to
-    the library whole.
+    """A byte-level BPE tokenizer that remembers the ids of parts.
+
+    Plain texts (ASCII, Latin-1 letters) are split here, all at once in numpy, as the tokenizer's own pattern
+    splits them; each new part goes to the library's BPE model once.  Parts are known by a 64-bit hash
+    of their bytes.  All other texts are cut before a space that has a character other than
+    white space on either side, where the pattern always cuts; the pieces go to the library whole and are remembered too.  A
+    text that holds the string of a special token goes to the library as it is.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -255,15 +334,16 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.bpe = self.model.model
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.end_id = end_id
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.known = Known()
+        self.pieces_of: dict[str, list[int]] = {}
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 1
+        self.pool[0] = self.end_id
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     @staticmethod
@@ -280,62 +360,73 @@ class PieceTokenizer:
                 joined.append(p)
         return joined
 
-    def _ids(self, piece: str) -> list[int]:
-        if not PLAIN.fullmatch(piece):
-            return self.model.encode(piece, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in PART.findall(piece):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= CACHE_PARTS:
-                    self.parts.clear()
-                ids = self.parts[part] = [t.id for t in self.bpe.tokenize(part.encode().decode("latin-1").translate(BYTE_CHARS))]
-            out += ids
-        return out
-
-    def _learn(self, fresh: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
         every: list[int] = []
-        sizes = np.zeros(len(fresh), np.int64)
-        n = len(self.known)
-        for k, piece in enumerate(fresh):
-            ids = self._ids(piece)
+        sizes = np.zeros(len(parts), np.int64)
+        n, tokenize = self.known.n, self.bpe.tokenize
+        for k, part in enumerate(parts):
+            ids = tokenize(part.decode("latin-1").translate(BYTE_CHARS))
             sizes[k] = len(ids)
-            every += ids
-            self.known[piece] = n + k
-        while n + len(fresh) > len(self.starts):
+            every += [t.id for t in ids]
+        while n + len(parts) > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
         while self.used + len(every) > len(self.pool):
             self.pool = np.concatenate([self.pool, self.pool])
         self.pool[self.used : self.used + len(every)] = every
-        self.sizes[n : n + len(fresh)] = sizes
-        self.starts[n : n + len(fresh)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(parts)] = sizes
+        self.starts[n : n + len(parts)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(every)
+        self.known.add(keys)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each with its end id, and how many each has."""
-        if len(self.known) > CACHE_PIECES or self.used > 8 * CACHE_PIECES:
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = Texts(column)
+        starts, ends, first = parts_of(texts)
+        keys = texts.hashes(starts, ends)
+        if self.known.n > CACHE_PARTS:
             self._clear()
-        every: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            every += self.pieces(text)
-            counts[k] = len(every)
-        which = np.fromiter(map(self.known.get, every, itertools.repeat(-1)), np.int64, len(every))
+        which = self.known.find(keys)
         missing = np.flatnonzero(which < 0)
         if len(missing):
-            new = [every[k] for k in missing.tolist()]
-            self._learn(list(dict.fromkeys(new)))
-            which[missing] = [self.known[p] for p in new]
-        # the end id is one more piece after those of each text
-        lengths = np.insert(self.sizes[which], counts, 1)
-        begins = np.insert(self.starts[which], counts, self.used)
-        if self.used == len(self.pool):
-            self.pool = np.concatenate([self.pool, self.pool])
-        self.pool[self.used] = self.end_id
+            new, at, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            raw = memoryview(np.ascontiguousarray(texts.data))
+            at = missing[at]
+            n = self.known.n
+            self._learn(new, [bytes(raw[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            which[missing] = n + back
+        # the end id is one more part after those of each text
+        lengths, begins = np.insert(self.sizes[which], first[1:], 1), np.insert(self.starts[which], first[1:], 0)
         ends = np.cumsum(lengths)
         ids = self.pool[np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        stops = ends[counts + np.arange(len(texts))] if len(texts) else counts
-        return ids, np.diff(stops, prepend=0)
+        return ids, np.diff(ends[first[1:] + np.arange(len(texts))], prepend=0)
+
+    def _other(self, text: str) -> list[int]:
+        if any(s in text for s in self.special):
+            return [*self.model.encode(text, add_special_tokens=False).ids, self.end_id]
+        pieces = self.pieces(text)
+        if len(self.pieces_of) > CACHE_PIECES:
+            self.pieces_of.clear()
+        new = list({p for p in pieces if p not in self.pieces_of})
+        for piece, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
+            self.pieces_of[piece] = found.ids
+        return [*itertools.chain.from_iterable(map(self.pieces_of.__getitem__, pieces)), self.end_id]
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with its end id, and how many each has."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = pc.invert(pc.match_substring_regex(column, PLAIN))
+        for content in self.special:
+            odd = pc.or_(odd, pc.match_substring(column, content))
+        odd = odd.to_numpy(zero_copy_only=False).astype(bool)
+        if not odd.any():
+            return self._plain(column)
+        plain, lengths = self._plain(column.filter(pa.array(~odd)))
+        own = [np.array(self._other(t), np.uint32) for t in column.filter(pa.array(odd)).to_pylist()]
+        sizes = np.zeros(len(column), np.int64)
+        sizes[~odd], sizes[odd] = lengths, [len(x) for x in own]
+        ids = np.empty(int(sizes.sum()), np.uint32)
+        from_odd = np.repeat(odd, sizes)
+        ids[~from_odd], ids[from_odd] = plain, np.concatenate(own)
+        return ids, sizes
 
 
 @functools.lru_cache(maxsize=1)
@@ -364,7 +455,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         for batch in slices(batches):
             if out is None:
                 out, tokens = ShardWriter(folder, name, context.taskAttemptId(), percentile), tokenizer(tokenizer_path, end_id)
-            ids, lengths = tokens.encode([t or "" for t in batch.column(1).to_pylist()])
+            ids, lengths = tokens.encode(batch.column(1))
             keys = batch.column(0)
             out.add(keys.fill_null(0).to_numpy(), np.asarray(keys.is_null()), ids, lengths)
             n += batch.num_rows
@@ -372,7 +463,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             total, size = out.ids, out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *map(pa.array, ([name], [n], [total], [size]))], names=["shard", "name", "n_docs", "n_tokens", "n_bytes"])
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
     return materialize(dealt.mapInArrow(run, "shard int, name string, n_docs long, n_tokens long, n_bytes long"), "manifest")
 
 
