@@ -1,18 +1,22 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a measured cost and a rejection rate, both estimated on a bounded
-sample; rules run in the order of rejection per cost, and a rule only sees the
-documents that all rules before it kept.  The order changes the time and
-never the verdict, because a document is kept if no rule rejects it.
-
-Cases: a null or empty text has no words and is rejected; repeated rows are
-judged alike; an empty table gives an empty table; other columns pass through
-``cascade`` untouched whatever they are called.
+Each rule has a cost and a selectivity, both estimated on a sample of about SAMPLE_ROWS texts: the
+cost is the number of array elements that its measures touch (EFFORT for each byte), so it is the same in every run, and
+a measure that an earlier rule has taken is free.  Rules are put in order one after the other: next comes the
+rule with the most rejections per cost among the sampled texts that are still in play.  A rule only sees the
+documents that all rules before it kept.  The order changes the time and never which documents are
+kept, because a document is kept if no rule rejects it.
+
+The sample is a share of all rows by a hash of doc_id and text; it is judged where it lies, and only
+one count for each set of rejecting rules comes to the driver.
+
+Cases: a null or empty text has no words and is rejected; repeated rows are judged alike; a null doc_id changes nothing; an empty
+table gives an empty table; other columns pass through ``cascade`` untouched whatever they are called, but for
+one called rejected_by, which ``cascade(keep=False)`` replaces.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,19 +31,36 @@ from emberlog.llm.textnum import Texts, WORD, owner, slices, windows
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SAMPLE_ROWS = 2000
+#: Array elements that a measure touches for each byte of text.
+EFFORT = {"n_words": 4, "word_chars": 3, "n_symbols": 2, "n_dup_lines": 8, "n_repeat_words": 24}
 
 
 class Measures:
     """Measures of some texts, each computed once and only when asked for."""
 
-    def __init__(self, texts: Texts):
-        self.texts, self._had = texts, {}
+    def __init__(self, column: pa.Array):
+        self.column, self._texts, self._had = column, None, {}
+
+    def __len__(self) -> int:
+        return len(self.column)
 
     def __getitem__(self, name: str) -> np.ndarray:
         if name not in self._had:
             self._had[name] = getattr(self, "_" + name)()
         return self._had[name]
 
+    @property
+    def texts(self) -> Texts:
+        if self._texts is None:
+            self._texts = Texts(self.column)
+        return self._texts
+
+    def only(self, rows: np.ndarray) -> Measures:
+        """The measures of some of the texts; those already taken are taken along."""
+        out = Measures(self.column.take(pa.array(rows)))
+        out._had = {name: held[rows] for name, held in self._had.items()}
+        return out
+
     def _n_words(self) -> np.ndarray:
         return np.diff(self.texts.words()[2])
 
@@ -100,56 +121,87 @@ class Rule:
     """reject gets the Measures of the texts still in play, and says which to drop."""
 
     name: str
+    needs: tuple[str, ...]
     reject: Callable[[Measures], np.ndarray]
 
 
 #: The default rules.  The first two are the fixed base; the others only take
 #: texts that are plainly not prose: symbol floods and texts of mostly repeated lines.
 RULES = (
-    Rule("few_words", lambda m: m["n_words"] < 10),
-    Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
-    Rule("symbol_flood", lambda m: 4 * m["n_symbols"] > m["n_words"]),
-    Rule("repeated_lines", lambda m: 20 * m["n_dup_lines"] > m["n_words"]),
-    Rule("odd_word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 30 * m["n_words"])),
+    Rule("few_words", ("n_words",), lambda m: m["n_words"] < 10),
+    Rule("repeated_words", ("n_repeat_words", "n_words"), lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    Rule("symbol_flood", ("n_symbols", "n_words"), lambda m: 4 * m["n_symbols"] > m["n_words"]),
+    Rule("repeated_lines", ("n_dup_lines", "n_words"), lambda m: 20 * m["n_dup_lines"] > m["n_words"]),
+    Rule("odd_word_length", ("word_chars", "n_words"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 30 * m["n_words"])),
 )
 
 
-def verdicts(column: pa.Array, rules: tuple[Rule, ...]) -> np.ndarray:
+def verdicts(measures: Measures, rules: tuple[Rule, ...]) -> np.ndarray:
     """Per text the number of the rule that rejected it, or -1; later rules see only survivors."""
-    out = np.full(len(column), -1, np.int32)
-    alive = np.arange(len(column))
+    out = np.full(len(measures), -1, np.int32)
+    alive = np.arange(len(measures))
     for k, rule in enumerate(rules):
         if not len(alive):
             break
-        measures = Measures(Texts(column if len(alive) == len(column) else column.take(pa.array(alive))))
         bad = rule.reject(measures)
-        out[alive[bad]] = k
-        alive = alive[~bad]
+        if bad.any():
+            out[alive[bad]] = k
+            alive, measures = alive[~bad], measures.only(np.flatnonzero(~bad))
     return out
 
 
+def _sampled(docs: DataFrame, rules: tuple[Rule, ...], text: str, sample_rows: int) -> list[tuple[int, int, int]]:
+    """(set of rejecting rules as bits, texts, their bytes) of a sample of docs."""
+    total = docs.count()
+    if not total:
+        return []
+    ids = [F.col(c) for c in docs.columns if c == "doc_id"]
+    share = min(1.0, sample_rows / total)
+    picked = docs.filter(F.pmod(F.xxhash64(*ids, F.col(text)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(text).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            m = Measures(batch.column(0))
+            bits = np.zeros(len(m), np.int64)
+            for k, rule in enumerate(rules):
+                bits |= rule.reject(m).astype(np.int64) << k
+            yield pa.RecordBatch.from_arrays([pa.array(bits), pa.array(np.diff(m.texts.offs))], names=["bits", "size"])
+
+    rows = picked.mapInArrow(run, "bits long, size long").groupBy("bits").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    return sorted((r["bits"], r["n"], r["size"]) for r in rows)
+
+
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """Rules by rejection per second, measured on at most sample_rows texts."""
-    rows = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(sample_rows).toArrow()["text"].combine_chunks()
-    if not len(rows):
-        return rules
-    rated = []
-    for k, rule in enumerate(rules):
-        began = time.perf_counter()
-        bad = int(rule.reject(Measures(Texts(rows))).sum())
-        rated.append((-bad / max(time.perf_counter() - began, 1e-6), k))
-    return tuple(rules[k] for _, k in sorted(rated))
+    """Rules by rejections per cost, each among the sampled texts that the rules before it leave."""
+    left, rest = _sampled(docs, rules, text, sample_rows), list(range(len(rules)))
+    taken: set[str] = set()
+    ordered: list[Rule] = []
+    while rest:
+        size = sum(b for _, _, b in left)
+
+        def worth(k: int) -> tuple[float, int]:
+            cost = 1 + size * (1 + sum(EFFORT[name] for name in rules[k].needs if name not in taken))
+            return -sum(n for bits, n, _ in left if bits >> k & 1) / cost, k
+
+        best = min(rest, key=worth)
+        rest.remove(best)
+        taken.update(rules[best].needs)
+        left = [x for x in left if not x[0] >> best & 1]
+        ordered.append(rules[best])
+    return tuple(ordered)
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, keep: bool = True) -> DataFrame:
-    """The documents that no rule rejects (keep), or all with a column rejected_by."""
+    """The documents that no rule rejects (keep), or all with a column rejected_by: the first rule that does."""
     ordered = order_rules(docs, rules, text, sample_rows)
     names = [r.name for r in ordered]
+    if not keep:
+        docs = docs.drop("rejected_by")
     schema = docs.schema if keep else T.StructType([*docs.schema.fields, T.StructField("rejected_by", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            said = verdicts(batch.column(text), ordered)
+            said = verdicts(Measures(batch.column(text)), ordered)
             if keep:
                 yield batch.filter(pa.array(said < 0))
             else:
@@ -160,18 +212,21 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per document the base measures, base_failed, and kept: the verdict of the cascade,
-    whose rules share measures that are computed once."""
+    """Per document the base measures, base_failed, and the cascade's verdict: kept and rejected_by.
+
+    The base measures are wanted of every text; the cascade takes them from there and decides
+    on survivors only.
+    """
     ordered = order_rules(docs, rules)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            m = Measures(Texts(batch.column(1)))
+            m = Measures(batch.column(1))
+            base = [pa.array(m[n], pa.int64()) for n in names]
             failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-            kept = ~failed
-            for rule in ordered:
-                kept &= ~rule.reject(m)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[n], pa.int64()) for n in names), pa.array(failed), pa.array(kept)], names=["doc_id", *names, "base_failed", "kept"])
+            said = verdicts(m, ordered)
+            why = pa.array([ordered[k].name if k >= 0 else None for k in said], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *base, pa.array(failed), pa.array(~failed & (said < 0)), why], names=["doc_id", *names, "base_failed", "kept", "rejected_by"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, rejected_by string")

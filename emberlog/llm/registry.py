@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(table(spark, sf_dir, "documents"))
+    return quality.measure(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
