@@ -78,21 +78,42 @@ u AS (SELECT min(conv_id) AS conv_id, count(*) AS n_same, n, seq, min(chat) AS c
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, CAST(n_same AS BIGINT) AS n_same, chat FROM u
 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.seq[1] = u.seq[1] AND c.n > u.n AND c.seq[1:u.n] = u.seq)""",
     "op3_entropy_mix": rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size,
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS s, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size,
              [1, 2, 3][CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM d GROUP BY source),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0))::DOUBLE
                 / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE AS level
       FROM s WINDOW b AS (ORDER BY 3 * source_size / w::DOUBLE, w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT min_by(level, 3 * source_size / w::DOUBLE) AS level FROM l WHERE 3 * source_size >= level * w),
-t AS (SELECT source, n, source_size, least((3 * source_size)::DOUBLE, f.level * w) AS target FROM l, f),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.source,
-             CASE WHEN t.source_size > 0 AND t.target > 0 THEN least(3.0::DOUBLE, round(t.target / t.source_size, 9)) ELSE 0.0::DOUBLE END AS rate,
-             md5(coalesce(CAST(d.doc_id AS VARCHAR), '')) AS digest, t.n
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, row_number() OVER (PARTITION BY source, CAST('0x' || substr(digest, 1, 6) AS BIGINT) % CAST(ceil(n / 4096.0) AS BIGINT)
-                                   ORDER BY size, digest) AS k FROM r)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(k * rate + 0.5) - floor((k - 1) * rate + 0.5)) AS BIGINT) AS taken FROM p""",
+t AS (SELECT s, source, n, source_size, least((3 * source_size)::DOUBLE, f.level * w) AS target FROM s, f),
+c AS (SELECT t.s, length(bin(greatest(size, 1))) - 1 AS class, sum(size)::DOUBLE AS mass
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+o AS (SELECT sum(mass) AS tokens, sum(mass * class) / sum(mass) AS middle FROM c),
+x AS (SELECT c.s, c.class, c.mass, class - middle AS x, target, target >= 3 * source_size AS bound, target > 0 AS wanted, tokens
+      FROM c JOIN t USING (s), o),
+k AS (SELECT coalesce(sum(3 * mass * x) FILTER (bound), 0) AS fixed, any_value(1.0::DOUBLE * tokens) AS soft FROM x),
+nw AS (
+  SELECT 0 AS i, s, ln(target / source_size) AS own, 0.0::DOUBLE AS shared FROM t WHERE target > 0 AND target < 3 * source_size
+  UNION ALL
+  SELECT i + 1, s, own + greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (g - dd * move) / b)), shared + move
+  FROM (SELECT *, greatest(-0.25::DOUBLE, least(0.25::DOUBLE,
+                    (-(sum(p) OVER () + fixed) - soft * shared - sum(dd * g / b) OVER ())
+                    / greatest(sum(e) OVER () + soft - sum(dd * dd / b) OVER (), soft))) AS move
+        FROM (SELECT i, s, own, shared, fixed, soft, target - sum(mass * least(3.0::DOUBLE, exp(own + shared * x))) AS g,
+                     greatest(coalesce(sum(mass * exp(own + shared * x)) FILTER (exp(own + shared * x) < 3), 0), target * 1e-6::DOUBLE) AS b,
+                     coalesce(sum(mass * exp(own + shared * x) * x) FILTER (exp(own + shared * x) < 3), 0) AS dd,
+                     coalesce(sum(mass * exp(own + shared * x) * x * x) FILTER (exp(own + shared * x) < 3), 0) AS e,
+                     sum(mass * least(3.0::DOUBLE, exp(own + shared * x)) * x) AS p
+              FROM nw JOIN x USING (s), k WHERE i < 40 GROUP BY i, s, own, shared, fixed, soft, target))),
+a AS (SELECT x.s, x.class, CAST(round(1e6::DOUBLE * CASE WHEN bound AND wanted THEN 3.0::DOUBLE
+               WHEN own IS NOT NULL THEN least(3.0::DOUBLE, exp(own + shared * x)) ELSE 0.0::DOUBLE END) AS BIGINT) AS rate
+      FROM x LEFT JOIN (SELECT * FROM nw WHERE i = 40) AS z USING (s)),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.s, a.rate, md5(coalesce(CAST(d.doc_id AS VARCHAR), '')) AS digest, t.n
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN a ON a.s = t.s AND a.class = length(bin(greatest(d.size, 1))) - 1),
+p AS (SELECT *, sum(rate) OVER (PARTITION BY s, CAST('0x' || substr(digest, 1, 6) AS BIGINT) % CAST(ceil(n / 4096.0) AS BIGINT)
+                                ORDER BY size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS passed FROM r)
+SELECT doc_id, size, source_size, target,
+       CAST(size * ((passed + 500000) // 1000000 - (passed - rate + 500000) // 1000000) AS BIGINT) AS taken FROM p""",
     "op9_quality_cascade": rf"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS ws,
                   string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

@@ -54,3 +54,26 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Scratch tables of one operator call.
+
+    ``keep`` writes and rereads a table as materialize does.  ``drop`` deletes some tables at once, where nothing that is still to run
+    reads them.  What the operator's lazy result reads stays for as long as the session, as a checkpoint does.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = fresh(self.spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path, _ = self.paths.pop(id(t))
+            remove(self.spark, path)
