@@ -16,11 +16,15 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from emberlog.llm.textnum import slices
+
 # Fixed phrases and labels of the base.
 BASE = (
     ("gnu general public license", "gpl"),
@@ -90,15 +94,18 @@ def normal(text: str) -> list[bytes]:
 
 def exact(joined: bytes) -> list[tuple[int, str]]:
     """Places of the base phrases in words joined by spaces: (word number, label)."""
-    out = []
+    hits = []
     held = b" " + joined + b" "
     for phrase, label in BASE:
         needle = f" {phrase} ".encode()
         at = held.find(needle)
         while at >= 0:
-            out.append((held.count(b" ", 0, at), label))
+            hits.append((at, label))
             at = held.find(needle, at + 1)
-    return out
+    if not hits:
+        return []
+    spaces = np.flatnonzero(np.frombuffer(held, np.uint8) == 32)
+    return list(zip(np.searchsorted(spaces, [at for at, _ in hits]).tolist(), (label for _, label in hits)))
 
 
 def _bounds(text: str, low: int, high: int) -> tuple[list[int], list[int]]:
@@ -149,8 +156,6 @@ def fuzzy(text: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tup
 
 def _places(text: str) -> list[tuple[int, int]]:
     """Start and end of each word in the text, in code points."""
-    import re
-
     return [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
 
 
@@ -159,19 +164,20 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES) -> Dat
     spans: label, start and end in code points of the text, edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: dict[str, list] = {c: [] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
             for value in batch.column(1):
                 text = value.as_py() or ""
                 words = normal(text)
                 joined = b" ".join(words)
                 base = exact(joined)
-                near = fuzzy(joined.decode("utf-8", "surrogatepass"), notices)
+                flat = joined.decode("utf-8", "surrogatepass")
+                near = fuzzy(flat, notices)
                 spans, score = [], 1.0 if base else 0.0
                 if near:
-                    places, flat = _places(text), joined.decode("utf-8", "surrogatepass")
+                    places, spaces = _places(text), [m.start() for m in re.finditer(" ", flat)]
                     for a, b, label, edits in near:
-                        first, last = flat.count(" ", 0, a), flat.count(" ", 0, b)
+                        first, last = bisect.bisect_left(spaces, a), bisect.bisect_left(spaces, b)
                         spans.append({"label": label, "start": places[first][0], "end": places[last][1], "edits": edits})
                         score = max(score, 1 - edits / (b - a))
                 labels = sorted({x for _, x in base})

@@ -29,8 +29,10 @@ MORE = ("local_phone", "id_number", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in MORE for p in "BI"))
 SENTENCES = 1500
 OFFSETS = (-2, -1, 0, 1, 2)
-CUES = ("mr", "mrs", "ms", "dr", "name", "named", "contact", "phone", "tel", "telephone", "call", "mobile", "fax", "ssn", "passport", "id", "born", "signed", "dear", "social", "security", "number")
-SHAPES = 7 * 4 * 5
+CUES = ("mr", "mrs", "ms", "dr", "name", "named", "contact", "phone", "tel", "telephone", "call", "mobile", "fax", "ssn", "passport", "id", "born", "signed", "dear", "social", "security", "number", "is", "at", "on", "my", "her", "his", "our", "reach", "dial", "ring", "cell", "text", "by", "from", "with", "told", "said", "asked", "wrote", "met", "prof", "sir", "sincerely", "regards", "of", "in", "the", "a")
+#: Words of digits and marks whose exact shape counts (d: a digit); all others count by the rough shape.
+EXACT = ("ddd-ddd-dddd", "ddd.ddd.dddd", "ddd/ddd-dddd", "(ddd)ddd-dddd", "(ddd)", "ddd-dddd", "ddd.dddd", "ddd-dd-dddd", "ddd", "dd", "d", "dddd", "dddddddddd", "ddddddddd", "dddd-dd-dd", "dd-dd-dddd", "dd/dd/dddd", "dd.dd.dddd", "dd:dd", "ddddd", "dddddd", "ddd,ddd", "ddd.dd", "dd.ddd.dd.ddd", "ddd.ddd.ddd.ddd")
+SHAPES = 7 * 4 * 5 + len(EXACT)
 
 # ---------------------------------------------------------------- base patterns (fixed values)
 
@@ -122,6 +124,16 @@ def shapes(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters = np.where(upper + lower == 0, 0, np.where(upper == 0, 1, np.where((upper == 1) & (head == 2) & (lower > 0), 2, 3)))
     marks = np.where(ats > 0, 3, np.where(brackets > 0, 2, np.where((joiners > 0) & (b - a > 1) & (digits > 0), 1, np.where(b < ends, 4, 0))))
     code = (bucket * 4 + letters) * 5 + marks
+    masked = Texts.__new__(Texts)
+    masked.data, masked.offs, masked._sums, masked._words = np.where(kinds == 1, np.uint8(100), texts.data), texts.offs, {}, None
+    exact = Texts(pa.array(EXACT))
+    known = exact.hashes(exact.offs[:-1], exact.offs[1:])
+    rank = np.argsort(known)
+    some = np.flatnonzero((digits > 0) & (upper + lower == 0))
+    found = masked.hashes(a[some], b[some])
+    spot = np.minimum(np.searchsorted(known[rank], found), len(known) - 1)
+    right = known[rank][spot] == found
+    code[some[right]] = SHAPES - len(EXACT) + rank[spot[right]]
     hashes, cues = texts.hashes(a, b, fold=True), _cue_hashes()
     order = np.argsort(cues)
     at = np.minimum(np.searchsorted(cues[order], hashes), len(cues) - 1)
@@ -180,27 +192,40 @@ class Field:
         s, move = self.scores(code), self.move + self.ban
         n, t, k = s.shape
         mask = np.arange(t) < sizes[:, None]
-        lse = lambda x, a: np.log(np.exp(x - x.max(axis=a, keepdims=True)).sum(axis=a)) + x.max(axis=a)
+        pass_on = np.exp(move)
+
+        def sent(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+            """log of exp(x) @ by, row by row; what has no way in gets a very small number."""
+            high = x.max(axis=1, keepdims=True)
+            return np.log(np.exp(x - high) @ by + 1e-300) + high
+
         fore, aft = np.zeros((n, t, k)), np.zeros((n, t, k))
         fore[:, 0] = s[:, 0]
         for i in range(1, t):
-            fore[:, i] = np.where(mask[:, i, None], lse(fore[:, i - 1][:, :, None] + move, 1) + s[:, i], fore[:, i - 1])
+            fore[:, i] = np.where(mask[:, i, None], sent(fore[:, i - 1], pass_on) + s[:, i], fore[:, i - 1])
         for i in range(t - 2, -1, -1):
-            aft[:, i] = np.where(mask[:, i + 1, None], lse(move + (s[:, i + 1] + aft[:, i + 1])[:, None, :], 2), 0)
-        total = lse(fore[:, -1], 1)
+            aft[:, i] = np.where(mask[:, i + 1, None], sent(s[:, i + 1] + aft[:, i + 1], pass_on.T), 0)
+        high = fore[:, -1].max(axis=1)
+        total = np.log(np.exp(fore[:, -1] - high[:, None]).sum(axis=1)) + high
         unary = np.exp(fore + aft - total[:, None, None]) * mask[:, :, None]
         hot = np.eye(k)[gold] * mask[:, :, None]
         wide = np.full((n, t + 4), self.codes - 1, np.int64)
         wide[:, 2:-2] = code
         g_emit, g_move = np.zeros_like(self.emit), np.zeros_like(self.move)
+        rest = (hot - unary)[mask]
         for j, o in enumerate(OFFSETS):
-            np.add.at(g_emit[j], wide[:, 2 + o : 2 + o + t], hot - unary)
+            at = wide[:, 2 + o : 2 + o + t][mask]
+            for label in range(k):
+                g_emit[j, :, label] += np.bincount(at, rest[:, label], self.codes)
         value = (s * hot).sum()
         for i in range(1, t):
-            pair = np.exp(fore[:, i - 1][:, :, None] + move + (s[:, i] + aft[:, i])[:, None, :] - total[:, None, None]) * mask[:, i, None, None]
-            seen = hot[:, i - 1][:, :, None] * hot[:, i][:, None, :]
+            was, now = fore[:, i - 1], s[:, i] + aft[:, i]
+            m, w = was.max(axis=1), now.max(axis=1)
+            weight = np.exp(m + w - total) * mask[:, i]
+            pair = pass_on * ((np.exp(was - m[:, None]) * weight[:, None]).T @ np.exp(now - w[:, None]))
+            seen = hot[:, i - 1].T @ hot[:, i]
             value += (seen * move).sum()
-            g_move += (seen - pair).sum(axis=0)
+            g_move += seen - pair
         return float(value - total.sum()), g_emit, g_move
 
 
@@ -208,43 +233,56 @@ def training_table(seed: int = 1, n: int = SENTENCES) -> list[list[tuple[str, st
     """Labelled sentences: (word, label) lists."""
     r = random.Random(seed)
     syllables = ("an", "er", "lo", "mi", "ta", "ken", "sol", "vi", "dra", "pe", "un", "ish", "the", "of")
+    small = ("is", "at", "on", "my", "her", "his", "our", "by", "from", "with", "of", "in", "the", "a", "said", "asked", "wrote", "met")
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(1, 4)))
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     name = lambda: word().capitalize()
-    tail = lambda w: w + r.choice(("", "", ",", "."))
+    tail = lambda w: w + r.choice(("", "", ",", ".", "?", "!", ";"))
+    cased = lambda w: r.choice((w, w, w.capitalize()))
 
     def phone() -> list[str]:
-        return r.choice(([f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"{digits(3)}.{digits(3)}.{digits(4)}"], [digits(3), digits(3), digits(4)]))
+        return r.choice(([f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}.{digits(4)}"], [f"({digits(3)}){digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"{digits(3)}.{digits(3)}.{digits(4)}"], [f"{digits(3)}/{digits(3)}-{digits(4)}"], [digits(3), digits(3), digits(4)], [digits(3), f"{digits(3)}-{digits(4)}"]))
 
     def idno() -> list[str]:
-        return r.choice(([f"{digits(3)}-{digits(2)}-{digits(4)}"], [f"{digits(3)}", digits(2), digits(4)]))
+        return r.choice(([f"{digits(3)}-{digits(2)}-{digits(4)}"], [f"{digits(3)}-{digits(2)}-{digits(4)}"], [digits(3), digits(2), digits(4)]))
 
     def spread(kind: str, words: list[str]) -> list[tuple[str, str]]:
         return [(w if k < len(words) - 1 else tail(w), f"{'B' if k == 0 else 'I'}-{kind}") for k, w in enumerate(words)]
 
+    def number() -> str:
+        return r.choice((digits(r.randrange(1, 6)), f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}-{digits(2)}-{digits(4)}", f"${digits(3)}.{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(2)}:{digits(2)}", digits(r.randrange(8, 20)), f"{digits(3)},{digits(3)}", word() + digits(2), f"{word()}.{digits(2)}@{word()}.com", f"{digits(2)}.{digits(3)}.{digits(2)}.{digits(3)}", f"{digits(3)}.{digits(2)}", digits(10), digits(9)))
+
     def filler(k: int) -> list[tuple[str, str]]:
-        out = []
+        out: list[tuple[str, str]] = []
         for _ in range(k):
             x = r.random()
-            w = name() if x < 0.12 else word() if x < 0.8 else r.choice((digits(r.randrange(1, 6)), f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"${digits(3)}.{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(2)}:{digits(2)}", digits(r.randrange(8, 20)), f"{digits(3)},{digits(3)}", word() + digits(2), f"{word()}.{digits(2)}@{word()}.com", f"{digits(2)}.{digits(3)}.{digits(2)}.{digits(3)}"))
-            out.append((tail(w), "O"))
+            # capitalised words stand alone at sentence starts and as names of places
+            w = name() if x < 0.1 and not (out and out[-1][0][:1].isupper()) else r.choice(small) if x < 0.35 else word() if x < 0.85 else number()
+            out.append((tail(w) if r.random() < 0.4 else w, "O"))
         return out
 
     table = []
     for _ in range(n):
         x = r.random()
         if x < 0.22:
-            cue = r.choice((["phone:"], ["tel"], ["call"], ["mobile"], ["fax:"], [], []))
-            middle = [(w, "O") for w in cue] + spread("local_phone", phone())
-        elif x < 0.44:
-            cue = r.choice((["SSN"], ["social", "security", "number"], ["passport"], ["id:"], ["ssn:"]))
-            middle = [(w, "O") for w in cue] + spread("id_number", idno())
-        elif x < 0.66:
-            cue = r.choice(("Mr", "Mrs.", "Dr.", "name:", "named", "contact", "Ms", "dear", "signed"))
-            middle = [(cue, "O")] + spread("person", [name() for _ in range(r.randrange(1, 3))])
+            lead = r.choice((["phone:"], ["tel"], ["call"], ["call", "me", "at"], ["mobile"], ["cell"], ["fax:"], ["my", "phone", "is"], ["our", "number", "is"], ["reach", word(), "at"], ["dial"], ["ring"], ["text"], ["telephone", "number"], [], []))
+            middle = [(cased(w), "O") for w in lead] + spread("local_phone", phone())
+        elif x < 0.42:
+            lead = r.choice((["SSN"], ["social", "security", "number"], ["social", "security", "number", "is"], ["passport"], ["id:"], ["ssn:"], ["her", "ssn", "is"], ["his", "id", "number", "is"], ["ssn", "of", word(), "is"], ["id", "number"]))
+            middle = [(cased(w), "O") for w in lead] + spread("id_number", idno())
+        elif x < 0.56:
+            cue = r.choice(("Mr", "Mrs.", "Dr.", "Prof.", "Sir", "mr.", "name:", "named", "contact", "Ms", "dear", "signed", "Sincerely,", "Regards,"))
+            middle = [(cue, "O")] + spread("person", [name() for _ in range(r.randrange(1, 3) if cue != "contact" else 2)])
             middle += [(word(), "O")]
+        elif x < 0.68:
+            # no cue but the words around: two or three capitalised words in running prose
+            cue = r.choice(("by", "from", "with", "told", "asked", "met", "said", word()))
+            middle = [(word(), "O"), (cue, "O")] + spread("person", [name() for _ in range(r.randrange(2, 4))]) + [(r.choice(("said", "wrote", "asked", "told", word(), word())), "O")]
         else:
-            middle = [(r.choice(("name", "call", "contact", "number", "id", "born", word())), "O")] + filler(2)
+            lead = r.choice((["name"], ["the", "name"], ["call"], ["contact"], ["number"], ["id"], ["born"], ["the", "number", "is"], ["call", "at"], [word()]))
+            if r.random() < 0.25:  # names of things stand behind an article
+                lead = [r.choice(("the", "a", "this")), *(name() for _ in range(r.randrange(1, 4)))]
+            middle = [(w, "O") for w in lead] + [(tail(name()), "O")] * (r.random() < 0.3) + [(tail(number()), "O")] * (r.random() < 0.5) + [(word(), "O")]
         table.append(filler(r.randrange(0, 6)) + middle + filler(r.randrange(0, 6)))
     return table
 
@@ -284,7 +322,7 @@ def _valid(kind: str, words: list[bytes]) -> bool:
         return digits == 10
     if kind == "id_number":
         return digits == 9
-    return all(w[:1].isupper() or w[:1] >= b"\x80" for w in words) and not digits
+    return len(set(words)) == len(words) <= 4 and all(w[:1].isupper() or w[:1] >= b"\x80" for w in words) and not digits
 
 
 def field_spans(texts: Texts, field: Field, chunk: int = 4096) -> list[list[tuple[int, int, int]]]:
@@ -339,6 +377,16 @@ def named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{every[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def _apart(extra: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans of extra that share no place with one of base, which comes sorted."""
+    if not extra or not base:
+        return extra
+    starts = np.array([x[0] for x in base])
+    reach = np.maximum.accumulate([x[2] for x in base])
+    before = np.searchsorted(starts, [x[2] for x in extra])  # base spans that begin before each one's end
+    return [x for x, k in zip(extra, before.tolist()) if not k or reach[k - 1] <= x[0]]
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined).
 
@@ -360,7 +408,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 for k in range(len(KINDS)):
                     counts[k].append(sum(x[1] == k for x in base))
                 digests.append(hashlib.sha256(named(base).encode()).hexdigest())
-                new = [x for x in extra if not any(x[0] < y[2] and y[0] < x[2] for y in base)] if extra else []
+                new = _apart(extra, base)
                 every.append(named(sorted([*base, *new])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(every, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 

@@ -83,3 +83,15 @@ def test_fuzzy_equals_all_word_stretches():
         some += len(want)
     assert some > 150
     assert [x[:2] for x in licenses.fuzzy("mit licence or mit license") if x[2] == "mit"] == [(0, 11), (15, 26)]
+
+
+def test_long_and_repeated_texts(spark):
+    import time
+
+    long = "cc by, MIT licence " * 60_000
+    began = time.perf_counter()
+    assert [k for k, _ in licenses.exact(b" ".join(licenses.normal(long)))][:3] == [0, 4, 8]
+    assert time.perf_counter() - began < 2
+    rows = [(1, long), (1, long), (None, "mit license"), (2, "cc  by")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_base, r.first_word, r.last_word, r.labels, len(r.spans)) for r in got) == [(0, 2, 1, 0, 0, "mit", 1), *[(1, 240_000, 60_000, 0, 239_996, "cc-by,mit", 60_000)] * 2, (2, 2, 1, 0, 0, "cc-by", 0)]
