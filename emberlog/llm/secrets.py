@@ -53,16 +53,31 @@ ENCODINGS = (
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Matches with their places: array of struct(at, s), at in code points."""
+    """Matches with their places: array of struct(at, s), at in code points.
+
+    Places are running sums of lengths.  As appending to an array copies it, the sums run in blocks of the square root
+    of the matches, and then over the blocks.
+    """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<at:int,s:string>>").alias("out"))
+    kind = "array<struct<at:int,s:string>>"
     pairs = F.arrays_zip(found.alias("s"), F.transform(F.slice(between, 1, F.size(found)), F.length).alias("gap"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["to"] + x["gap"]
         return F.struct((at + F.length(x["s"])).alias("to"), F.array_append(acc["out"], F.struct(at.alias("at"), x["s"].alias("s"))).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(begin["out"])
+    def within(held: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(held))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(held) - 1, size), lambda i: F.slice(held, i + 1, size))
+        return F.transform(blocks, lambda b: F.aggregate(b, F.struct(F.lit(0).alias("to"), F.array().cast(kind).alias("out")), step))
+
+    def across(blocks: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(blocks, begin, lambda acc, b: F.struct((acc["to"] + b["to"]).alias("to"), F.array_append(acc["out"], acc["to"]).alias("out")))["out"]
+        return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(b["out"], lambda x: F.struct((x["at"] + base).alias("at"), x["s"].alias("s")))))
+
+    # each step binds its input once: a one-element array, transformed
+    return F.when(text.rlike(pattern), F.transform(F.transform(F.array(pairs), within), across)[0]).otherwise(F.array().cast(kind))
 
 
 def normal_tail(z: Column) -> Column:
@@ -106,7 +121,6 @@ def _tested(s: Column) -> Column:
         strength = F.least(F.lit(BINS), F.floor(-100 * F.log10(F.greatest(normal_tail(z), F.lit(1e-30))))).cast("int")
         return F.when(random, F.struct(size.alias("size"), strength.alias("bin")))
 
-    # each step binds its input once: a one-element array, transformed
     return F.when(encoding.isNotNull(), F.transform(F.transform(F.array(made), numbers), judged)[0])
 
 
