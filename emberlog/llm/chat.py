@@ -10,9 +10,10 @@ Turns are hashed in runs of RUN turn numbers, and only run totals are combined o
 whole conversation, so no task needs all turns of one.
 
 Cases: rows without a conv_id belong to no conversation and are left out; rows that
-repeat in all four columns count once; rows of one turn stand in the order of their hashes;
+repeat in all four columns count once; rows of one turn stand in the order of role and text, null last;
 a null turn stands first; a null role or text is a value of its own and is
-rendered empty; an empty table gives an empty table; other columns are ignored.
+rendered empty; an empty table gives an empty table; other columns are ignored.  Turns that share a run (null turns are
+one) are ordered in one task, by an external sort.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def _keyed(turns: DataFrame) -> DataFrame:
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, place (from 1), n (turns of the conversation), and the prefix hash (x, y) up to each place."""
     run = F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 62)))
-    slim = _keyed(turns).select("conv_id", "turn", "a", "b").distinct().withColumn("run", run)
-    local = Window.partitionBy("conv_id", "run").orderBy(F.col("turn").asc_nulls_first(), "a", "b")
-    slim = materialize(slim.withColumn("k", F.row_number().over(local)), "turns")
+    slim = _keyed(turns).distinct().withColumn("run", run)
+    local = Window.partitionBy("conv_id", "run").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
+    slim = materialize(slim.withColumn("k", F.row_number().over(local)).drop("role", "text"), "turns")
     over = Window.partitionBy("conv_id").orderBy("run")
     earlier = over.rowsBetween(Window.unboundedPreceding, -1)
     sizes = slim.groupBy("conv_id", "run").agg(F.count("*").alias("c"))
@@ -63,11 +64,11 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame, template: tuple[str, str, str] = TEMPLATE) -> DataFrame:
-    """conv_id and chat: all turns of a conversation in one string."""
+    """conv_id and chat: all turns of a conversation in one string (so one conversation has to fit in a task)."""
     head, middle, tail = (F.lit(x) for x in template)
     part = F.concat(head, F.coalesce("role", F.lit("")), middle, F.coalesce("text", F.lit("")), tail)
-    rows = _keyed(turns).select("conv_id", "turn", "a", "b", part.alias("part")).distinct()
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("has"), "turn", "a", "b", "part")))
+    rows = _keyed(turns).select("conv_id", "turn", "role", "text", part.alias("part")).distinct()
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("has"), "turn", F.col("role").isNull().alias("mute"), "role", F.col("text").isNull().alias("bare"), "text", "part")))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("chat"))
 
 
