@@ -2,8 +2,8 @@
 
 Words are runs of letters, digits and non-ASCII characters, with A-Z as a-z.  A test item's
 seeds are its GRAM-word runs that are rare in the corpus: those in at most RARE of all
-documents, and always the rarer half of them, so an item that was copied a million times
-keeps its seeds.  Where a document holds a seed, the passage around it is aligned with
+documents, and of any two that follow each other the rarer one (both if they are equal), so that an item that was
+copied a million times keeps seeds in every stretch: GRAM + 1 words of it that stand unchanged in a document always hold one.  Where a document holds a seed, the passage around it is aligned with
 the item word by word (match 2, mismatch -1, gap -1); the score is the best local
 alignment over that of a whole copy, 1 for an exact one.  A passage is as wide as the gaps
 go that the threshold leaves room for, so it holds every alignment through the seed that reaches it.
@@ -12,8 +12,8 @@ Test items come to the driver in blocks of BLOCK_ITEMS (with MAX_WORDS words at
 block), and each block passes over the corpus once more: what is broadcast never grows
 with either table.  Document counts of n-grams cover all documents.
 
-Cases: a null or empty text or item matches nothing; items of fewer than GRAM words are one
-shorter seed; an item in several rows of one item_id counts by its best row; repeated documents are rows of
+Cases: a null or empty text or item matches nothing; an item of fewer than GRAM words is one
+shorter seed, whatever its count (a one-word item is held by all documents with that word); an item in several rows of one item_id counts by its best row; repeated documents are rows of
 their own; empty tables give an empty table; other columns are ignored.
 """
 
@@ -39,6 +39,8 @@ BATCH = 256
 #: Longer passages are aligned in pieces of so many starting words; a batch holds at most CELLS of padded words.
 PIECE = 2048
 CELLS = 1 << 18
+#: Seed places are laid out in pieces of about so many.
+HITS = 1 << 18
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -60,6 +62,8 @@ class Items:
     grams: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    #: By number of words below GRAM: sorted hashes of whole items of so many words, and their items.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str]) -> Items:
@@ -67,10 +71,18 @@ class Items:
         grams, at = windows(words, first, GRAM)
         item = np.searchsorted(first, at, side="right") - 1
         order = np.argsort(grams, kind="stable")
-        return cls(np.array(ids, np.int64), words, first, grams[order], item[order], (at - first[item])[order])
+        short = {}
+        for n in range(1, GRAM):
+            own = np.flatnonzero(np.diff(first) == n)
+            if len(own):
+                runs, begins = windows(words, first, n)
+                hashes = runs[np.searchsorted(begins, first[own])]
+                rank = np.argsort(hashes, kind="stable")
+                short[n] = hashes[rank], own[rank]
+        return cls(np.array(ids, np.int64), words, first, grams[order], item[order], (at - first[item])[order], short)
 
     def keep(self, rare: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.first, self.grams[rare], self.item[rare], self.place[rare])
+        return Items(self.ids, self.words, self.first, self.grams[rare], self.item[rare], self.place[rare], self.short)
 
 
 def align(items: np.ndarray, sizes: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,26 +127,51 @@ def gaps(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(MATCH * sizes * (1 - min(threshold, 1.0)) / -GAP).astype(np.int64)
 
 
-def _hits(block: Items, words: np.ndarray, first: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """(document, item, diagonal, last diagonal) of the places where a document holds a seed, sorted;
-    diagonals whose passages (reach words, by item) overlap are one row."""
-    grams, at = windows(words, first, GRAM)
-    left = np.searchsorted(block.grams, grams, side="left")
-    hit = np.flatnonzero((left < len(block.grams)) & (block.grams[np.minimum(left, max(len(block.grams) - 1, 0))] == grams)) if len(block.grams) else np.zeros(0, np.int64)
-    if not len(hit):
-        return np.zeros((0, 4), np.int64)
-    low, high = left[hit], np.searchsorted(block.grams, grams[hit], side="right")
-    counts = high - low
-    which = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    place = np.repeat(at[hit], counts)
-    doc = np.searchsorted(first, place, side="right") - 1
-    rows = np.stack([doc, block.item[which], place - first[doc] - block.place[which]], axis=1)
+def _found(held: np.ndarray, item: np.ndarray, place: np.ndarray, grams: np.ndarray, at: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """(document, item, diagonal) rows of the places at where a text's grams are among the sorted held ones, each once in a piece of
+    about HITS: a seed that many items share times its many places is never laid out at once."""
+    if not len(held) or not len(grams):
+        return
+    low = np.searchsorted(held, grams, side="left")
+    hit = np.flatnonzero((low < len(held)) & (held[np.minimum(low, len(held) - 1)] == grams))
+    low = low[hit]
+    counts = np.searchsorted(held, grams[hit], side="right") - low
+    total = np.cumsum(counts)
+    k = 0
+    while k < len(hit):
+        to = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + HITS, side="right")))
+        n = counts[k:to]
+        which = np.repeat(low[k:to] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        spot = np.repeat(at[hit[k:to]], n)
+        doc = np.searchsorted(first, spot, side="right") - 1
+        yield np.unique(np.stack([doc, item[which], spot - first[doc] - place[which]], axis=1), axis=0)
+        k = to
+
+
+def _chained(rows: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """(document, item, first and last diagonal) of rows (document, item, first, last diagonal): those whose passages overlap are one row."""
     rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
     new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] > rows[:-1, 2] + reach[rows[1:, 1]])
-    # a chain of close diagonals is one passage: its first to its last
+    same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+    # the furthest diagonal so far of the same pair: pairs lie far apart on one line
+    group = np.concatenate([[0], np.cumsum(~same)])
+    span = int(np.abs(rows[:, 2:]).max()) * 2 + 2 if len(rows) else 1
+    far = np.maximum.accumulate(rows[:, 3] + group * span) - group * span
+    new[1:] = ~same | (rows[1:, 2] > far[:-1] + reach[rows[1:, 1]])
     ends = np.append(np.flatnonzero(new)[1:] - 1, len(rows) - 1)
-    return np.concatenate([rows[new], rows[ends, 2:]], axis=1)
+    return np.concatenate([rows[new][:, :3], far[ends][:, None]], axis=1)
+
+
+def _hits(block: Items, words: np.ndarray, first: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """(document, item, diagonal, last diagonal) of the places where a document holds a seed, sorted;
+    diagonals whose passages (reach words, by item) overlap are one row."""
+    looked = [(block.grams, block.item, block.place, GRAM)] + [(h, own, np.zeros(len(own), np.int64), n) for n, (h, own) in block.short.items()]
+    out = np.zeros((0, 4), np.int64)
+    for held, item, place, n in looked:
+        grams, at = windows(words, first, n)
+        for rows in _found(held, item, place, grams, at, first):
+            out = _chained(np.concatenate([out, rows[:, [0, 1, 2, 2]]]), reach)
+    return out
 
 
 def _passages(block: Items, words: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
@@ -243,13 +280,19 @@ def document_counts(docs: DataFrame, block: Items) -> tuple[np.ndarray, int]:
 
 
 def rare_seeds(block: Items, counts: np.ndarray, total: int, rare: float = RARE) -> Items:
-    """The seeds of a block: n-grams in few documents, and always the rarer half of each item's."""
-    order = np.lexsort((counts, block.item))
-    rank = np.empty(len(order), np.int64)
-    begins = np.searchsorted(block.item[order], np.arange(len(block.ids) + 1))
-    rank[order] = np.arange(len(order)) - begins[block.item[order]]
-    half = (np.diff(begins)[block.item] + 1) // 2
-    return block.keep((counts <= max(1, rare * total)) | (rank < half))
+    """The seeds of a block: n-grams in few documents, and of any two that follow each other the rarer one."""
+    order = np.lexsort((block.place, block.item))
+    item, n = block.item[order], counts[order]
+    keep = n <= max(1, rare * total)
+    if len(order):
+        joined = item[1:] == item[:-1]
+        keep[:-1] |= joined & (n[:-1] <= n[1:])
+        keep[1:] |= joined & (n[1:] <= n[:-1])
+        lone = np.bincount(item, minlength=len(block.ids))[item] == 1
+        keep |= lone
+    out = np.zeros(len(order), bool)
+    out[order] = keep
+    return block.keep(out)
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -78,3 +78,55 @@ def test_long_insertions_and_deletions_score_as_over_the_whole_document(spark):
                 want[d, k] = score
     got = {(x.doc_id, x.item_id): x.score for x in decontam.matches(df, bench).collect()}
     assert got == want and len(want) > 50
+
+
+def test_short_items_are_their_own_seed(spark):
+    docs = [(1, "here Granite Falls ends"), (2, "granite and falls"), (3, "a xylophone"), (4, "granite falls granite falls"), (4, "granite falls granite falls"), (None, "granite falls"), (5, None), (6, "")]
+    bench = [(1, "granite falls"), (2, "Xylophone!"), (3, "granite and falls"), (1, "nothing else"), (4, None)]
+    df = spark.createDataFrame([(d, t, 1.0, 7) for d, t in docs], "doc_id long, text string, score double, first_word long")
+    got = {(x.doc_id, x.item_id): x.score for x in decontam.matches(df, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    whole = {(d, k): 1.0 for d, k in ((1, 1), (3, 2), (4, 1), (None, 1), (2, 3))}
+    assert {p: s for p, s in got.items() if s == 1.0} == whole
+    assert decontam.decontaminate(df, spark.createDataFrame(bench, "item_id long, text string")).columns == df.columns
+
+
+def test_recall_against_full_alignment_with_common_words(spark):
+    r = random.Random(77)
+    vocabulary = [f"w{k}" for k in range(400)]
+    weights = [1 / (k + 1) for k in range(400)]
+    text = lambda n: r.choices(vocabulary, weights, k=n)
+    items = [text(r.randrange(12, 40)) for _ in range(16)]
+    docs = []
+    for d in range(160):
+        body = text(r.randrange(20, 120))
+        if d % 2:
+            rate = r.choice((0.0, 0.1, 0.2, 0.3))
+            body[len(body) // 2 : len(body) // 2] = [w if r.random() > rate else r.choice(vocabulary) for w in r.choice(items)]
+        docs.append(body)
+    want = {(d, k) for d, body in enumerate(docs) for k, item in enumerate(items) if smith_waterman(item, body) >= decontam.THRESHOLD * 2 * len(item) - 1e-9}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.matches(df, spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) > 60, (len(got), len(want))
+
+
+def test_seed_places_in_pieces_give_the_same_passages(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(12)]
+    items = decontam.Items.of(list(range(30)), [" ".join(r.choices(vocabulary, k=r.randrange(1, 9))) for _ in range(30)])
+    words, first = decontam.words_of(decontam.Texts(pa.array([" ".join(r.choices(vocabulary, k=r.randrange(200))) for _ in range(20)])))
+    whole = decontam._passages(items, words, first, 0.55)
+    monkeypatch.setattr(decontam, "HITS", 5)
+    for a, b in zip(whole, decontam._passages(items, words, first, 0.55)):
+        assert (a == b).all()
+    assert len(whole[0]) > 50
+
+
+def test_every_two_following_grams_keep_one():
+    r = np.random.default_rng(1)
+    block = decontam.Items.of([1, 2], [" ".join(f"a{k}" for k in range(50)), "x y z"])
+    for _ in range(20):
+        kept = decontam.rare_seeds(block, r.integers(5, 9, len(block.grams)), 10)
+        at = np.sort(kept.place[kept.item == 0])
+        assert at[0] <= 1 and at[-1] >= 46 and (np.diff(at) <= 2).all() and (kept.item == 1).any()
