@@ -7,20 +7,23 @@ registers of a round, side by side, are the 64-bit key of its band.  Two sets of
 similarity s agree in a round with a chance of about s ** ROWS, so of 28 rounds of 4 at
 least one agrees with a chance of 0.99998 at s = 0.75.
 
-Documents with equal sets form one class, known by its smallest doc_id, and only classes
+Documents with equal sets form one class, known by a 64-bit digest of the set, and only classes
 go on.  In a bucket (one band, one key) every class is held against the smallest one;
 the Jaccard estimate from the registers, less the collisions that random registers
 would give, drops pairs that are plainly too far apart; the rest is confirmed on the
 full sets.  Confirmed links give components.  Where a bucket still holds more than one
 component, its classes outside the largest one are held against all others, block by block:
-a task has two blocks of about BLOCK texts, estimates and confirms their pairs
+a task has two blocks of about BLOCK texts (fewer if they are long), estimates and confirms their pairs
 in memory, and returns links between components alone.  So no link that a shared band
 shows is lost, and no group is ever spread out into rows of pairs.
 
+Hot keys: a bucket, a set or a component may hold a third of all rows.  What is known of each of them is added up
+first (map-side) and written; the join back is then one of two plain shuffles, many to one, which AQE splits where one key
+fills a partition.
+
 Cases: a null or empty text has an empty set and links with nothing; with fewer than five
-words the whole sequence is the one shingle; repeated rows of one doc_id are
-documents of their own that share an id (the id's set is that of its smallest digest);
-a null doc_id is not compared.  An empty table gives an empty table.
+words the whole sequence is the one shingle; rows are documents of their own, also where they share a doc_id
+or repeat in all columns; a null doc_id is not compared.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.scratch import materialize
+from emberlog.llm.scratch import Scratch, materialize
 from emberlog.llm.textnum import Texts, mix, owner, slices, windows
 
 SHINGLE = 5
@@ -114,16 +117,13 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _digest(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Two 64-bit sums that stand for a whole set."""
-    out = np.zeros((2, len(bounds)), np.uint64)
-    for k, step in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(step)), dtype=np.uint64)])
-        out[k] = sums[bounds]
-    return np.diff(out, axis=1).view(np.int64)
+    """A 64-bit sum that stands for a whole set."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
+    return mix(np.diff(sums[bounds])).view(np.int64)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the digest of the set (d1, d2), and its sketch (binary, null if empty)."""
+    """doc_id and tag of docs, n_shingles, a digest of the set (rep), and its sketch (binary, null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -134,10 +134,9 @@ def sketch(docs: DataFrame) -> DataFrame:
             if len(full):
                 for k, row in zip(full.tolist(), sketches(hashes, np.append(bounds[full], bounds[-1]))):
                     made[k] = row.tobytes()
-            d1, d2 = _digest(hashes, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(d1), pa.array(d2), pa.array(made, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(_digest(hashes, bounds)), pa.array(made, pa.binary())], names=["doc_id", "tag", "n_shingles", "rep", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, "doc_id long, tag long, n_shingles long, rep long, sketch binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -172,7 +171,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar.
 
     All texts that are held against one text a go to the tasks of a, cut by a salt into
@@ -180,7 +179,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     """
     sized = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salted = pairs.join(sized, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("salt"))
-    text = docs.select(F.col("doc_id").alias("id"), "text")
+    text = texts.select(F.col("rep").alias("id"), "text")
     # the text of a comes once for every salt, before the texts of its partners
     heads = salted.select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("part")).distinct()
     wanted = heads.unionByName(salted.select("a", "salt", F.col("b").alias("id"), F.lit(1).alias("part")))
@@ -205,18 +204,21 @@ def _confirm(pairs: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between components that share a bucket: members (key, band, rep)."""
-    placed = members.select("key", "band", "rep").join(labels, "rep")
-    shares = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = shares.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("component", F.struct("c", "component")).alias("top"), F.max("c").alias("c")).filter("n > c")
-    held = placed.join(mixed, "key").withColumn("left", F.col("component") != F.col("top"))
+    sized = scratch.keep(labels.join(classes.select("rep", "n_shingles"), "rep"), "sized")
+    placed = scratch.keep(members.select("key", "band", "rep").join(sized, "rep"), "placed")
+    shares = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    most = F.max(F.struct("c", "component", "s"))
+    mixed = shares.groupBy("key").agg(F.sum("c").alias("n"), F.sum("s").alias("all"), most.alias("top")).select("key", "n", "all", F.col("top.component").alias("top"), F.col("top.c").alias("c"), F.col("top.s").alias("s")).filter("n > c")
+    held = placed.join(scratch.keep(mixed, "mixed"), "key").withColumn("left", F.col("component") != F.col("top"))
     block = lambda size: F.pmod(F.xxhash64("rep"), size).cast("int")
-    lefts, rights = F.ceil((F.col("n") - F.col("c")) / BLOCK), F.ceil(F.col("n") / BLOCK)
+    blocks = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES))
+    lefts, rights = blocks(F.col("n") - F.col("c"), F.col("all") - F.col("s")), blocks(F.col("n"), F.col("all"))
     every = lambda size: F.explode(F.sequence(F.lit(0), (size - 1).cast("int")))
     own = ("key", "band", "rep", "component")
     sides = held.filter("left").select(*own, block(lefts).alias("l"), every(rights).alias("r"), F.lit(0).alias("side")).unionByName(held.select(*own, every(lefts).alias("l"), block(rights).alias("r"), F.lit(1).alias("side")))
-    full = classes.select("rep", "sketch").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    full = classes.select("rep", "sketch").join(texts, "rep")
     rows = sides.join(full, "rep").select("key", "l", "r", "side", "band", "rep", "component", "sketch", "text").repartition(parts, "key", "l", "r").sortWithinPartitions("key", "l", "r", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,62 +296,85 @@ def _similar(own: np.ndarray, other: np.ndarray) -> bool:
 
 CHUNK = 256
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """rep, component: the smallest rep reachable over links (a, b); for all rows of nodes (rep).
 
     Labels sink along links and then along labels (a label's own label), so the
     number of rounds grows as the logarithm of the longest path.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    linked = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("rep"), "label"), "labels")
+    both = scratch.keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    linked = scratch.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("rep"), "label"), "labels")
     while True:
         near = both.join(linked.select(F.col("rep").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("least"))
         sunk = linked.join(near.withColumnRenamed("a", "rep"), "rep").select("rep", F.col("label").alias("was"), F.least("label", "least").alias("label"))
         jump = sunk.select(F.col("rep").alias("at"), F.col("label").alias("next"))
-        moved = materialize(sunk.join(jump, sunk["label"] == jump["at"]).select("rep", "was", F.least("label", "next").alias("label")), "labels")
+        moved = scratch.keep(sunk.join(jump, sunk["label"] == jump["at"]).select("rep", "was", F.least("label", "next").alias("label")), "labels")
         linked = moved.select("rep", "label")
         if not moved.filter("label <> was").limit(1).count():
             break
     return nodes.select("rep").join(linked, "rep", "left").select("rep", F.coalesce("label", "rep").alias("component"))
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """Per document doc_id, n_shingles, component_id and kept (the smallest doc_id of its component)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = materialize(sketch(docs), "sketch")
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text, tag): the rows (doc_id, tag, n_shingles, rep), and for each set (rep) its component and
+    the smallest doc_id of that."""
+    scratch = Scratch(docs.sparkSession)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = scratch.keep(sketch(docs), "sketch")
     full = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # one class for each set, known by its smallest doc_id
-    classes = materialize(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
-    buckets = materialize(_bands(classes), "bands")
-    heads = buckets.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(buckets.join(heads, "key").select("key", "band", "rep", "head", "n"), "members")
+    # one class for each set, with the doc_id and tag of one smallest document
+    classes = scratch.keep(full.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.min_by("tag", "doc_id").alias("tag"), F.min("n_shingles").alias("n_shingles"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
+    buckets = scratch.keep(_bands(classes), "bands")
+    heads = scratch.keep(buckets.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
+    members = scratch.keep(buckets.join(heads, "key").select("key", "band", "rep", "head", "n"), "members")
     pairs = members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     tested = _likely(pairs, classes)
     owners = classes.select("rep")
     # only classes that share a bucket are ever confirmed: their texts are gathered once
-    sharing = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.select("doc_id", "text").join(sharing, "doc_id", "left_semi"), "texts")
-    links = materialize(_confirm(tested, texts, parts), "confirmed")
-    labels = materialize(components(owners, links), "components")
-    more = materialize(_across(members.filter("n > 2"), labels, classes, texts, parts), "confirmed")
+    sharing = classes.select("rep", "doc_id", "tag").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.select("doc_id", "tag", "text").join(sharing, ["doc_id", "tag"]).select("rep", "text")
+    if full.groupBy("doc_id", "tag").count().filter("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["rep"])
+    texts = scratch.keep(texts, "texts")
+    links = scratch.keep(_confirm(tested, texts, parts), "confirmed")
+    labels = scratch.keep(components(owners, links, scratch), "components")
+    more = scratch.keep(_across(members.filter("n > 2"), labels, classes, texts, parts, scratch), "confirmed")
     if more.limit(1).count():
-        labels = materialize(components(owners, links.unionByName(more)), "components")
-    by_set = full.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).join(labels, "rep").select("doc_id", "d1", "d2", "component")
-    # a repeated doc_id joins what each of its rows reaches: take the smallest
-    placed = by_set.groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = made.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
+        labels = scratch.keep(components(owners, links.unionByName(more), scratch), "components")
+    least = scratch.keep(labels.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
+    settled = scratch.keep(labels.join(least, "component").select("rep", "component", "smallest"), "settled")
+    scratch.close(made, settled)
+    return made.drop("sketch"), settled
+
+
+def classify(docs: DataFrame) -> DataFrame:
+    """Per document doc_id, n_shingles, component_id and kept (the smallest doc_id of its component)."""
+    made, settled = _grouped(docs.select("doc_id", "text", F.xxhash64("text").alias("tag")))
+    able = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    linked = made.filter(able).join(settled, "rep").select("doc_id", "n_shingles", F.col("smallest").alias("component_id"))
+    alone = made.filter(~able).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("*", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one document of each group of near copies.
+    """The rows of docs that stay: one document of each group of near copies, with the columns of docs.
 
-    Rows that repeat a kept doc_id stay one each; a null doc_id is always kept.
+    It is the one with the smallest doc_id; of several with that id the one with the smallest hash of all columns, so which one stays is
+    the same in every run.  Rows that are equal in all columns count as copies.  Documents without a word or a doc_id all stay.
     """
-    classes = classify(docs).filter("kept").select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), "doc_id", "text", F.xxhash64(*names).alias("tag"))
+    made, settled = _grouped(rows)
+    able = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    each = made.filter(able).join(settled, "rep").groupBy("component", "doc_id", "tag").agg(F.count("*").alias("times"))
+    winners = each.groupBy("component").agg(F.min(F.struct("doc_id", "tag", "times")).alias("w")).select("w.*")
+    winners = materialize(winners.unionByName(made.filter((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()).select("doc_id", "tag", F.lit(0).cast("long").alias("times")).distinct()), "winners")
+    out = rows.filter("doc_id IS NOT NULL").join(winners.filter("times < 2").select("doc_id", "tag"), ["doc_id", "tag"], "left_semi").select("row")
+    repeated = winners.filter("times > 1")
+    if repeated.limit(1).count():
+        several = rows.filter("doc_id IS NOT NULL").join(repeated.select("doc_id", "tag"), ["doc_id", "tag"], "left_semi")
+        out = out.unionByName(several.groupBy("doc_id", "tag").agg(F.first("row").alias("row")).select("row"))
+    return out.unionByName(rows.filter("doc_id IS NULL").select("row")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -57,23 +57,21 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Scratch tables of one operator call.
-
-    ``keep`` writes and rereads a table as materialize does.  ``drop`` deletes some tables at once, where nothing that is still to run
-    reads them.  What the operator's lazy result reads stays for as long as the session, as a checkpoint does.
-    """
+    """The scratch tables of one operator call: keep writes and rereads one as materialize does, close deletes all but some."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.held = spark, []
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = fresh(self.spark, label)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (path, out)
+        self.held.append((path, out))
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path, _ = self.paths.pop(id(t))
-            remove(self.spark, path)
+    def close(self, *but: DataFrame) -> None:
+        """Delete the tables, but for those that a lazy result still reads."""
+        for path, out in self.held:
+            if not any(out is x for x in but):
+                remove(self.spark, path)
+        self.held = [x for x in self.held if any(x[1] is y for y in but)]
