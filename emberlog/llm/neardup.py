@@ -171,13 +171,14 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets are similar.
 
     All texts that are held against one text a go to the tasks of a, cut by a salt into
     runs of about CHUNK; each task has one set of a and one batch in memory at a time.
     """
-    sized = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    pairs = scratch.keep(pairs, "pairs")
+    sized = scratch.keep(pairs.groupBy("a").agg(F.count("*").alias("n")), "counts")
     salted = pairs.join(sized, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("salt"))
     text = texts.select(F.col("rep").alias("id"), "text")
     # the text of a comes once for every salt, before the texts of its partners
@@ -339,7 +340,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if full.groupBy("doc_id", "tag").count().filter("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["rep"])
     texts = scratch.keep(texts, "texts")
-    links = scratch.keep(_confirm(tested, texts, parts), "confirmed")
+    links = scratch.keep(_confirm(tested, texts, parts, scratch), "confirmed")
     labels = scratch.keep(components(owners, links, scratch), "components")
     more = scratch.keep(_across(members.filter("n > 2"), labels, classes, texts, parts, scratch), "confirmed")
     if more.limit(1).count():
