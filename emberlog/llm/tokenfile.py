@@ -15,8 +15,8 @@ A block's width is the smallest that holds a chosen percentile of its offsets fr
 the minimum; what does not fit keeps its low bits in place and its high bits in the
 exception list.  All integers are little-endian.
 
-Cases: a null or empty text is its end id alone; equal doc_ids stand in the order of
-their texts; null doc_ids come first; an empty table gives no shard and no row.
+Cases: a null or empty text is its end id alone; equal doc_ids stand in the order of the first LEAD characters of
+their texts, then of a hash of them; null doc_ids come first; an empty table gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ PERCENTILE = 0.95
 CACHE_PIECES = 200_000
 CACHE_PARTS = 2_000_000
 SHARD_BYTES = 64 << 20
+LEAD = 16
 TIED = re.compile(r"\s (?:\s|\Z)")  # a space that may belong to the white space on both sides
 # Fixed values of byte-level BPE: what plain texts are made of, the classes of their bytes (0: all else), and the
 # characters that stand for the 256 bytes: printable ones for themselves, the rest from 256 on.
@@ -463,7 +464,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             total, size = out.ids, out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *map(pa.array, ([name], [n], [total], [size]))], names=["shard", "name", "n_docs", "n_tokens", "n_bytes"])
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # short keys, as the bounds of ranges come from keys that are sent to the driver
+    keys = ["doc_id", "lead", "print"]
+    dealt = docs.select("doc_id", "text", F.substring("text", 1, LEAD).alias("lead"), F.xxhash64("text").alias("print")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "text").select("doc_id", "text")
     return materialize(dealt.mapInArrow(run, "shard int, name string, n_docs long, n_tokens long, n_bytes long"), "manifest")
 
 
