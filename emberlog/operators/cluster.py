@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import SUMMARY_CHARS, causal_lines, deepest_cause, mask
+from emberlog.sources.shared import cut, spread
 
 TIERS = {"strict": 0.95, "standard": 0.85, "lenient": 0.70}
 DETAILED, META, CAUSES, IDS = 200, 2000, 32, 64
@@ -69,12 +70,19 @@ def founders(found: DataFrame, threshold: float = TIERS["standard"], keys: tuple
 
 
 def members(entries: DataFrame, threshold: float = TIERS["standard"]) -> DataFrame:
-    """entries (with template) with their cluster_id: clusters are numbered by their first line."""
-    found = templates(entries)
+    """entries (with template) with their cluster_id: clusters are numbered by their first line.
+
+    Entries are written once with their templates, as masks are what costs most here; templates are few.
+    """
+    entries = cut(spread(entries), "templated")
+    found = cut(templates(entries), "templates")
     leads = founders(found, threshold)
+    if 0 < threshold <= 1:
+        leads = cut(leads, "founders")
     first = found.join(leads, ["level", "template"]).groupBy("level", "founder").agg(F.min("first_line").alias("first_line"))
     ids = first.withColumn("cluster_id", F.row_number().over(Window.orderBy("first_line", "level", "founder")))
-    return entries.join(leads.join(ids.select("level", "founder", "cluster_id"), ["level", "founder"]), ["level", "template"])
+    numbered = cut(leads.join(ids.select("level", "founder", "cluster_id"), ["level", "founder"]), "clusters")
+    return entries.join(numbered, ["level", "template"])
 
 
 def clusters(held: DataFrame) -> DataFrame:

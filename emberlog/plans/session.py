@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import analysis, assemble, cluster, compare, evidence, filters, rules, timeline
 from emberlog.sources import lines as source
+from emberlog.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,7 @@ class Options:
 
 @dataclass
 class Result:
-    """DataFrames of a run; nothing is computed before one of them is read."""
+    """DataFrames of a run, most of them tables that are written already."""
 
     lines: DataFrame
     entries: DataFrame
@@ -54,33 +55,35 @@ class Result:
 
 
 def run(lines: DataFrame, options: Options | None = None) -> Result:
+    """Entries, clusters and, unless options say no, what they mean.  Each step is written and read back (a cut), so the plan
+    of the next one stays small; reports then read tables."""
     o = options or Options()
     rule = rules.detect(source.sample(lines)) if o.rule == "auto" else o.rule
     if o.tail:
         lines = source.tail(lines, o.tail)
     if o.max_lines:
         lines = source.cap(lines, o.max_lines)
-    every = assemble.entries(lines, rule).filter(filters.in_time(o.filter)).persist()
-    kept = cluster.with_template(every.filter(filters.matches(o.filter)))
-    held = cluster.members(kept, o.threshold).persist()
-    found = cluster.clusters(held)
-    stats = filters.stats(every)
-    changes = filters.changes(every)
+    every = cut(assemble.entries(lines, rule).filter(filters.in_time(o.filter)), "entries")
+    held = cluster.members(cluster.with_template(every.filter(filters.matches(o.filter))), o.threshold)
+    found = cut(cluster.clusters(held), "found")
+    stats = cut(filters.stats(every), "stats")
+    changes = cut(filters.changes(every), "changes")
     if o.analyse:
         found = _analysed(found, held, stats, changes, o)
-    return Result(lines, every, kept, held, found, stats, changes, analysis.traces(every), o)
+    return Result(lines, every, held, held, found, stats, changes, analysis.traces(every), o)
 
 
 def _analysed(found: DataFrame, held: DataFrame, stats: DataFrame, changes: DataFrame, o: Options) -> DataFrame:
-    found = found.withColumn("citable", evidence.citable(F.col("sample.line_no"), F.col("sample.next_start"), o.context, F.col("sample.last_line_no"))).persist()
-    words = analysis.cluster_tokens(found)
+    found = found.withColumn("citable", evidence.citable(F.col("sample.line_no"), F.col("sample.next_start"), o.context, F.col("sample.last_line_no")))
+    words = cut(analysis.cluster_tokens(found), "words")
     row = stats.first()
     bursts = timeline.own_bursts(timeline.histogram(held, ("cluster_id",)), k=2.0 if o.deep else 3.0)
-    odd = analysis.anomalies(found, bursts, timeline.periodic(held), words, row.n_errors, 5 if o.deep else 10)
-    roots = analysis.root_causes(found, analysis.keyword_scores(found), analysis.cross_edges(words, found), 2.0 if o.deep else analysis.STRONG)
-    out = found.join(odd, "cluster_id").join(roots, "cluster_id")
+    odd = cut(analysis.anomalies(found, cut(bursts, "bursts"), cut(timeline.periodic(held), "periodic"), words, row.n_errors, 5 if o.deep else 10), "anomalies")
+    edges = cut(analysis.cross_edges(words, found), "edges")
+    roots = cut(analysis.root_causes(found, cut(analysis.keyword_scores(found), "scores"), edges, 2.0 if o.deep else analysis.STRONG), "roots")
+    out = cut(found.join(odd, "cluster_id").join(roots, "cluster_id"), "judged")
     context = analysis.change_context(found, changes).select("cluster_id", F.col("change").alias("change_context"))
-    return out.join(analysis.priorities(out, row.time_start, row.time_end), "cluster_id").join(context, "cluster_id", "left")
+    return cut(out.join(analysis.priorities(out, row.time_start, row.time_end), "cluster_id").join(context, "cluster_id", "left"), "analysed")
 
 
 def analyze_files(spark: SparkSession, paths: list[str], options: Options | None = None) -> Result:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import levels, text, times
 from emberlog.operators import analysis, assemble, cluster, compare, evidence, filters, rules, timeline
+from emberlog.plans import report, session
 from emberlog.sources import lines as source
 from emberlog.sources import packed
 
@@ -46,6 +47,36 @@ def test_entries_of_a_mixed_log(spark):
     assert (e[10].level, e[10].next_start) == ("ERROR", None)
 
 
+def test_entries_do_not_depend_on_blocks(spark, monkeypatch):
+    r = random.Random(5)
+    kinds = ["2024-03-01 10:00:00 ERROR [a] head", "\tat x.y(Z.java:1)", "  more", "", "Caused by: E: z", "2024-03-01 10:00:01 INFO [b] other"]
+    body = "\n".join(f"{r.choices(kinds, (2, 3, 3, 1, 2, 1))[0]} {k}" if r.random() < 0.9 else "" for k in range(300))
+    lines = source.from_text(spark, "  before any start\n" + body).unionByName(source.from_text(spark, body, "b").withColumn("file_seq", F.lit(1)).withColumn("line_no", F.col("line_no") + 301))
+    seen = []
+    for size in (1 << 20, 1, 7, 64):
+        monkeypatch.setattr(assemble, "BLOCK", size)
+        for span in (False, True):
+            seen.append(sorted((e.line_no, e.last_line_no, e.file_last_line_no, e.next_start or 0, e.level, e.message, tuple(e.message_extra), tuple(e.stack)) for e in assemble.entries(lines, span_files=span).collect()))
+    assert seen[0::2] == [seen[0]] * 4 and seen[1::2] == [seen[1]] * 4 and seen[0] != seen[1]
+
+
+def test_causes_and_verdicts(spark):
+    result = session.analyze_text(spark, LOG)
+    assert result.verdict()["can_conclude"]
+    c = {r.summary[:6]: r for r in result.clusters.collect()}
+    assert c["Failed"].confidence == "CONFIRMED" and c["Failed"].cause == "java.net.ConnectException: refused"
+    plain = session.analyze_text(spark, "\n".join(f"2024-03-01 10:00:0{k} ERROR [m] connection refused timeout" for k in range(8)))
+    assert not plain.verdict()["can_conclude"] and plain.verdict()["verdict"] in ("LIKELY", "INSUFFICIENT")
+
+
+def test_reports(spark):
+    result = session.analyze_text(spark, LOG)
+    for kind in report.FORMATS:
+        assert "Failed to open" in report.export(result, kind)
+    with pytest.raises(ValueError):
+        report.export(result, "pdf")
+
+
 def sequential(kinds):
     out, open_ = [], None
     for k, kind in enumerate(kinds, 1):
