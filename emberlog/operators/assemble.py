@@ -44,8 +44,9 @@ def _parts(lines: DataFrame, rules: RuleSet, run: list[str]) -> DataFrame:
     """What each block of BLOCK lines holds of an entry: run, block, start (its START line, null if that stands in an earlier
     block), head, extra and stack lines.  A block is one group of one shuffle, however large its file."""
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lines.withColumn("block", F.floor(F.col("line_no") / BLOCK)).repartition(parts, *run, "block")
-    kept = classify(dealt, rules).filter("kind <> 'BLANK'")
+    # blank lines go by their text: a filter on their kind would be pushed below it and judge every line twice
+    dealt = lines.filter(strip(F.col("text")) != "").withColumn("block", F.floor(F.col("line_no") / BLOCK)).repartition(parts, *run, "block")
+    kept = classify(dealt, rules)
     over = Window.partitionBy(*run, "block").orderBy("line_no")
     kept = kept.withColumn("start", F.max(F.when(F.col("kind") == "START", F.col("line_no"))).over(over))
     inner = Window.partitionBy(*run, "block", "start").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
