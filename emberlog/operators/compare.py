@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.sources.shared import cut
+
 
 def by_template(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, b: level, template, count.  One row a kind: status, count_a, count_b, change (per cent)."""
@@ -17,17 +19,36 @@ def by_template(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def by_trace(compared: DataFrame, ids_a: DataFrame, ids_b: DataFrame) -> DataFrame:
-    """Of the new and gone kinds those that share a correlation id, one to one: the smallest shared id decides.
-
-    ids: level, template, correlation_id.  Each gone kind takes the new kind of its first shared id that is free,
-    found by rounds of mutual first choices; a round ends at least the pair with the smallest id."""
-    gone = compared.filter("status = 'gone'").select("level", F.col("template").alias("template_a")).join(ids_a.withColumnRenamed("template", "template_a"), ["level", "template_a"])
-    new = compared.filter("status = 'new'").select("level", F.col("template").alias("template_b")).join(ids_b.withColumnRenamed("template", "template_b"), ["level", "template_b"])
-    pairs = gone.join(new, ["level", "correlation_id"]).groupBy("level", "template_a", "template_b").agg(F.min("correlation_id").alias("via"))
-    order = ("via", "template_a", "template_b")
-    one = F.row_number().over(Window.partitionBy("level", "template_a").orderBy(*order))
-    two = F.row_number().over(Window.partitionBy("level", "template_b").orderBy(*order))
-    return pairs.withColumn("i", one).withColumn("j", two).filter("i = 1 AND j = 1").drop("i", "j")
+    """Of the new and gone kinds those that share a correlation id, whatever their levels, one to one: via, level_a, template_a,
+    level_b, template_b.
+
+    Candidates stand in the order of id, new kind, gone kind, and one is taken if both its kinds are still free.  That
+    is what rounds come to which take all candidates that are the first of both kinds and drop what these kinds had, until none is left.
+    """
+    sides = {}
+    for status, ids, x in (("gone", ids_a, "a"), ("new", ids_b, "b")):
+        kinds = compared.filter(F.col("status") == status).select("level", "template").join(ids, ["level", "template"]).distinct()
+        sides[x] = kinds.select(F.col("level").alias(f"level_{x}"), F.col("template").alias(f"template_{x}"), F.col("correlation_id").alias("via"))
+    a, b = ["level_a", "template_a"], ["level_b", "template_b"]
+    left = cut(sides["a"].join(sides["b"], "via"), "candidates")
+    order = ["via", "template_b", "level_b", "template_a", "level_a"]
+    taken = left.limit(0)
+    while True:
+        first = lambda kind: F.row_number().over(Window.partitionBy(*kind).orderBy(*order))
+        now = cut(left.withColumn("i", first(a)).withColumn("j", first(b)).filter("i = 1 AND j = 1").drop("i", "j"), "pairs")
+        if not now.limit(1).count():
+            return taken
+        taken = taken.unionByName(now)
+        left = cut(left.join(now.select(*a), a, "left_anti").join(now.select(*b), b, "left_anti"), "candidates")
+
+
+def with_traces(compared: DataFrame, pairs: DataFrame) -> DataFrame:
+    """compared with the pairs of by_trace as common kinds: new and gone are what is left."""
+    counts = lambda status, x, n: compared.filter(F.col("status") == status).select(F.col("level").alias(f"level_{x}"), F.col("template").alias(f"template_{x}"), n)
+    joined = pairs.join(counts("gone", "a", "count_a"), ["level_a", "template_a"]).join(counts("new", "b", "count_b"), ["level_b", "template_b"])
+    common = joined.select(F.col("level_b").alias("level"), F.col("template_b").alias("template"), F.lit("common").alias("status"), "count_a", "count_b", (100.0 * (F.col("count_b") - F.col("count_a")) / F.nullif("count_a", F.lit(0))).alias("change"))
+    used = pairs.select(F.col("level_a").alias("level"), F.col("template_a").alias("template"), F.lit("gone").alias("status")).unionByName(pairs.select(F.col("level_b").alias("level"), F.col("template_b").alias("template"), F.lit("new").alias("status")))
+    return compared.join(used, ["level", "template", "status"], "left_anti").select(common.columns).unionByName(common)
 
 
 def ordered(compared: DataFrame) -> DataFrame:

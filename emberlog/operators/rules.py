@@ -17,7 +17,7 @@ from emberlog.functions import levels, times
 from emberlog.functions.text import strip
 
 # The words a level may be written as, and the formats of the three presets.
-LEVEL_WORDS = "TRACE|DEBUG|INFO|NOTICE|NOTE|WARNING|WARN|ERROR|ERR|SEVERE|FATAL ERROR|FATAL|CRITICAL|CRIT|PANIC|EMERG|ALERT|FAILURE|FAILED|FAIL|EXCEPTION|ASSERTION|ASSERT"
+LEVEL_WORDS = "TRACE|DEBUG|INFO|NOTICE|NOTE|WARNING|WARN|ERROR|ERR|SEVERE|FATAL|CRITICAL|CRIT|PANIC|EMERG|ALERT|FAILURE|FAILED|FAIL|EXCEPTION|ASSERTION|ASSERT"
 _ISO = r"(?<timestamp>\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,6})?(?:\s*(?:Z|[+-]\d{2}:?\d{2}))?)"
 _BRACKET_ISO = ("bracket_iso", r"(?i)^\[" + _ISO + r"\]\s*(?:(?<level>{LEVEL})\s*[:\-]\s+)?(?<message>.*)$")
 GENERIC = (
@@ -49,8 +49,8 @@ STACKS = (r"^\s*at\s+[\w$.]+\(", r"^\s*Caused by\s*:?", r"^Traceback \(most rece
 EMBEDDED_STACKS = (*STACKS, r"^\s*#\d+\s+0x[0-9a-fA-F]+", r"^.*\bat\s+[\w]+:\d+\s*$")
 JENKINS_STACKS = (*STACKS[:5], r"^FAILURE: Build failed", r"^\s*\.\.\.\s*\d+\s*more\b", STACKS[7])
 HINTS = {"ERROR": [r"\bERROR\b", r"\bERR\b", r"\bException\b", "uncaught"], "FAIL": [r"\bFAIL(?:ED|URE|URES)?\b", r"\bASSERT(?:ION)?\b"], "WARN": [r"\bWARN(?:ING)?\b"]}
-EMBEDDED_HINTS = {"ERROR": [r"\bERROR\b", r"\bERR\b", r"\bException\b"], "FAIL": [r"\bFAIL(?:ED|URE)?\b", r"\bASSERT(?:ION)?\b", r"\bPASS\b.*\bnot\b"], "WARN": [r"\bWARN(?:ING)?\b"]}
-JENKINS_HINTS = {"ERROR": [r"\[err\]", r"\[severe\]", r"\bERROR\b", "Compilation error", r"\bException\b", "Could not"], "FAIL": ["BUILD FAILURE", r"\bFAILED\b", r"\bfailures?\b", "There are test failures", r"Tests run:.*(?:Failures|Errors): *[1-9]"], "WARN": [r"\[warning\]", r"\bWARNING\b"]}
+EMBEDDED_HINTS = {"ERROR": [r"\bHARDFAULT\b", r"\bMEMFAULT\b", r"\bBUSFAULT\b", r"\bWatchdog\b", r"\bstack overflow\b", r"\bassert(?:ion)? failed\b", r"\bERROR\b", r"\bERR\b", r"\bException\b"], "FAIL": [r"\bFAIL(?:ED|URE)?\b", r"\bASSERT(?:ION)?\b", r"\bPASS\b.*\bnot\b"], "WARN": [r"\bWARN(?:ING)?\b"]}
+JENKINS_HINTS = {"ERROR": ["BUILD ABORTED", "OUT OF MEMORY", "JVM terminated", "fatal error", r"\[err\]", r"\[severe\]", r"\[ERROR\]", r"\bERROR\b", "Compilation error", r"\bException\b", "Could not"], "FAIL": ["BUILD FAILURE", r"\bFAILED\b", r"\bfailures?\b", "There are test failures", r"Tests run:.*(?:Failures|Errors): *[1-9]"], "WARN": [r"\[warning\]", r"\bWARNING\b"]}
 #: A stack line that is not indented begins with one of these, or names an exception.
 FLUSH = r"^(Caused by|Traceback|Backtrace|at |File |raise |terminate)|^[A-Za-z_][\w.$]*(?:Exception|Error|Fault|Interrupt)\s*[:({]"
 

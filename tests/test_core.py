@@ -222,3 +222,32 @@ def test_detection(spark):
 
 def test_timeline_and_assess():
     assert analysis.timeline([(1, 2), (2, 3), (1, 4), (4, 5), (5, 6)], 1) == [1, 2, 4, 3, 5]
+
+
+def test_kinds_that_share_an_id_are_paired_one_to_one(spark):
+    r = random.Random(3)
+    levels_ = ["ERROR", "FAIL", "WARN"]
+    a = [(r.choice(levels_), f"a{k}", 2) for k in range(12)]
+    b = [(r.choice(levels_), f"b{k}", 3) for k in range(12)] + [("INFO", "same", 1)]
+    a += [("INFO", "same", 5)]
+    ids = lambda kinds: [(x, t, f"id{r.randrange(9)}") for x, t, _ in kinds for _ in range(r.randrange(4))]
+    ia, ib = ids(a), ids(b)
+    want, free_a, free_b = [], {k[:2] for k in a} - {("INFO", "same")}, {k[:2] for k in b} - {("INFO", "same")}
+    for via in sorted({i for *_, i in ib}):
+        for bx in sorted({(t, x) for x, t, i in ib if i == via}):
+            for ax in sorted({(t, x) for x, t, i in ia if i == via}):
+                if ax[::-1] in free_a and bx[::-1] in free_b:
+                    want.append((via, *ax[::-1], *bx[::-1]))
+                    free_a.discard(ax[::-1]), free_b.discard(bx[::-1])
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    compared = compare.by_template(df(a, "level string, template string, count long"), df(b, "level string, template string, count long"))
+    pairs = compare.by_trace(compared, df(ia, "level string, template string, correlation_id string"), df(ib, "level string, template string, correlation_id string"))
+    assert sorted(map(tuple, pairs.select("via", "level_a", "template_a", "level_b", "template_b").collect())) == sorted(want) and len(want) > 3
+    after = {(x.status, x.level, x.template) for x in compare.with_traces(compared, pairs).collect()}
+    assert {k for k in after if k[0] == "gone"} == {("gone", *k) for k in free_a} and {k for k in after if k[0] == "new"} == {("new", *k) for k in free_b}
+    assert len([k for k in after if k[0] == "common"]) == len(want) + 1
+
+
+def test_fatal_hints_count_as_errors(spark):
+    said = lambda name, x: one(spark, rules.PRESETS[name].infer_level(F.lit(x)))[0]
+    assert said("embedded", "HardFault at 0x20") == said("embedded", "watchdog reset") == said("jenkins", "build aborted by user") == said("jenkins", "JVM terminated") == "ERROR"
