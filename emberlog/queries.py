@@ -457,11 +457,11 @@ def gap_inventory(spark, sf_dir):
 
 # ------------------------------------------------------------------ evidence, comparison, reports
 
-_R = _L + ", r AS (SELECT source, 1 AS start_line, least(max(n), 3) AS end_line FROM l GROUP BY 1), d AS (SELECT r.source, start_line, end_line, sha256(string_agg(rtrim(raw, chr(13)), chr(10) ORDER BY n)) AS sha256 FROM r JOIN l ON l.source = r.source AND n BETWEEN start_line AND end_line GROUP BY 1, 2, 3)\n"
+_R = _L + ", r AS (SELECT source, 1 AS start_line, max(n) AS end_line FROM l GROUP BY 1), d AS (SELECT r.source, start_line, end_line, sha256(string_agg(rtrim(raw, chr(13)), chr(10) ORDER BY n)) AS sha256 FROM r JOIN l ON l.source = r.source AND n BETWEEN start_line AND end_line GROUP BY 1, 2, 3)\n"
 
 
 def _ranges(l: DataFrame) -> DataFrame:
-    return l.groupBy("source").agg(F.least(F.max("file_line_no"), F.lit(3)).alias("end_line")).select(F.col("source").alias("key"), "source", F.lit(1).cast("long").alias("start_line"), "end_line")
+    return l.groupBy("source").agg(F.max("file_line_no").alias("end_line")).select(F.col("source").alias("key"), "source", F.lit(1).cast("long").alias("start_line"), "end_line")
 
 
 @query(_R + "SELECT source, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, sha256, substr(sha256(concat_ws('|', source, start_line, end_line, 'entry', sha256)), 1, 12) AS ref_id FROM d")
