@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import levels
-from emberlog.functions.text import causal_lines, deepest_cause, tokens
+from emberlog.functions.text import causal_lines, deepest_cause, has_cause, tokens
 from emberlog.operators.timeline import first_in_window
 
 # Words that speak for a root cause, and words that speak for a consequence.
@@ -28,11 +28,13 @@ CASCADE = (
 BANDS = {"ERROR": (80.0, None), "FAIL": (55.0, 75.0), "WARN": (35.0, 55.0), "INFO": (15.0, 35.0), "DEBUG": (None, 15.0), "TRACE": (None, 15.0)}
 CHANGE_WINDOW = 1800.0
 STRONG, RELATED, NOVEL, CONTAINED = 3.0, 0.8, 0.5, 0.6
+SHOWN, RIVAL = 8, 5
 
 
 def _words(clusters: DataFrame) -> DataFrame:
     """cluster_id, word, kind of each keyword in a cluster."""
-    table = F.array(*(F.struct(F.lit(w).alias("word"), F.lit("root").alias("kind")) for w in ROOT), *(F.struct(F.lit(w).alias("word"), F.lit("cascade").alias("kind")) for w in CASCADE))
+    # one expression, not one call a word: plans are built faster
+    table = F.expr("array(" + ", ".join(f"named_struct('word', '{w}', 'kind', '{kind}')" for kind, said in (("root", ROOT), ("cascade", CASCADE)) for w in said) + ")")
     body = F.lower(F.concat_ws(" ", "summary", "template"))
     held = clusters.select("cluster_id", body.alias("body")).withColumn("x", F.explode(F.filter(table, lambda w: F.contains(F.col("body"), w["word"]))))
     return held.select("cluster_id", "x.word", "x.kind")
@@ -112,16 +114,30 @@ def change_context(clusters: DataFrame, changes: DataFrame) -> DataFrame:
     return near.groupBy("cluster_id").agg(F.max(F.struct("change_ts", "change_line", "change")).alias("x"), F.first("first_seen").alias("first_seen")).select("cluster_id", "x.change_line", "x.change", (F.col("first_seen") - F.col("x.change_ts")).alias("gap"))
 
 
-def traces(entries: DataFrame, keep: int = 20) -> DataFrame:
-    """Chains of entries that share a plausible id (6 to 64 characters, not all digits), of two or more steps, over
-    several modules or with an error: correlation_id, n_steps, n_modules, has_error, by_time, steps; the first keep."""
+def chains(entries: DataFrame) -> DataFrame:
+    """Correlation ids that are plausible (6 to 64 characters, not all digits) and hold two or more steps, over several modules or
+    with an error: correlation_id, n_steps, n_modules, has_error, by_time.  Counts only; no steps are gathered."""
     cid = F.col("correlation_id")
     held = entries.filter(cid.isNotNull() & F.length(cid).between(6, 64) & ~cid.rlike(r"^\d+$"))
+    by = held.groupBy("correlation_id").agg(F.count("*").alias("n_steps"), F.countDistinct(F.nullif("module", F.lit(""))).alias("n_modules"), F.max(F.col("level").isin(*levels.ERRORS)).alias("has_error"), (F.count("ts") == F.count("*")).alias("by_time"))
+    return by.filter((F.col("n_steps") >= 2) & ((F.col("n_modules") >= 2) | F.col("has_error")))
+
+
+def traces(entries: DataFrame, keep: int = 20) -> DataFrame:
+    """The first keep chains (those over several modules first, then the longer ones) with their steps, by time where all have one."""
+    top = chains(entries).orderBy(F.desc(F.col("n_modules") >= 2), F.desc("n_steps"), "correlation_id").limit(keep)
     step = F.struct("ts", "line_no", "module", "level", F.substring("message", 1, 160).alias("message"))
-    by = held.groupBy("correlation_id").agg(F.count("*").alias("n_steps"), F.countDistinct(F.nullif("module", F.lit(""))).alias("n_modules"), F.max(F.col("level").isin(*levels.ERRORS)).alias("has_error"), (F.count("ts") == F.count("*")).alias("by_time"), F.collect_list(step).alias("steps"))
-    good = by.filter((F.col("n_steps") >= 2) & ((F.col("n_modules") >= 2) | F.col("has_error")))
+    steps = entries.join(F.broadcast(top.select("correlation_id")), "correlation_id").groupBy("correlation_id").agg(F.collect_list(step).alias("steps"))
     ordered = F.when(F.col("by_time"), F.array_sort("steps")).otherwise(F.array_sort("steps", lambda a, b: (a["line_no"] - b["line_no"]).cast("int")))
-    return good.withColumn("steps", ordered).orderBy(F.desc(F.col("n_modules") >= 2), F.desc("n_steps"), "correlation_id").limit(keep)
+    return top.join(steps, "correlation_id").withColumn("steps", ordered).orderBy(F.desc(F.col("n_modules") >= 2), F.desc("n_steps"), "correlation_id")
+
+
+def attach_traces(held: DataFrame, found: DataFrame, keep: int = 8) -> DataFrame:
+    """cluster_id, traces: the first keep ids, in their order, of the chains (found) that a cluster's members take part in.  Order
+    is all that a chain shows, so no confidence rises with it."""
+    pairs = held.filter("correlation_id IS NOT NULL").select("cluster_id", "correlation_id").distinct().join(found.select("correlation_id"), "correlation_id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("cluster_id").orderBy("correlation_id"))
+    return pairs.withColumn("nth", nth).filter(F.col("nth") <= keep).groupBy("cluster_id").agg(F.array_sort(F.collect_list("correlation_id")).alias("traces"))
 
 
 def anomalies(clusters: DataFrame, burst: DataFrame, even: DataFrame, words: DataFrame, n_errors: int, rare_min: int = 10) -> DataFrame:
@@ -132,27 +148,74 @@ def anomalies(clusters: DataFrame, burst: DataFrame, even: DataFrame, words: Dat
     return out.select("cluster_id", F.when(F.col("b"), "burst").when(F.col("p"), "periodic").when(rare & F.col("v"), "novel").when(rare, "rare").alias("anomaly"))
 
 
-def root_causes(clusters: DataFrame, scores: DataFrame, edges: DataFrame, strong: float = STRONG) -> DataFrame:
-    """cluster_id, is_root_cause, confidence, reason, cause.
+def order_key() -> list[Column]:
+    """Clusters with a time by that time, then those without by their line."""
+    return [F.col("first_seen").isNull(), F.coalesce("first_seen", F.col("first_line").cast("double")), F.col("first_line"), F.col("cluster_id")]
+
 
-    CONFIRMED: the sample names an innermost cause, and its lines can be cited.  LIKELY: such a cause out of
-    reach, a source of the reference graph, the first of a time window, strong words.
+def temporal_edges(clusters: DataFrame) -> DataFrame:
+    """source, target: a cluster whose sample names a cause, and the one before it.  A hint for display, never a proof."""
+    named = clusters.filter(has_cause(causal_lines(F.col("sample.stack"), F.col("sample.message")))).select("cluster_id")
+    return nearest_prior(clusters).join(named, "cluster_id", "left_semi").select(F.col("prior").alias("source"), F.col("cluster_id").alias("target"))
+
+
+def variants(causes: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """cluster_id, top, top_cited, top_count, kinds, total, variants: a cluster's innermost causes by count, then by text; the first
+    shown of them with counts, then those that overflowed (reason null).  causes: cluster_id, cause, count, and cited if known."""
+    cited = F.col("cited") if "cited" in causes.columns else F.lit(None).cast("boolean")
+    item = F.struct((-F.col("count")).alias("k"), F.col("cause").alias("reason"), cited.alias("cited"))
+    by = causes.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.when(F.col("cause").isNotNull(), item))).alias("x"), F.sum("count").alias("total"), F.coalesce(F.sum(F.when(F.col("cause").isNull(), F.col("count"))), F.lit(0)).alias("over"))
+    one = lambda reason, n: F.struct(reason.alias("reason"), n.cast("long").alias("count"))
+    named = F.transform(F.slice("x", 1, shown), lambda v: one(v["reason"], -v["k"]))
+    rest = F.when(F.col("over") > 0, F.array(one(F.lit(None).cast("string"), F.col("over")))).otherwise(F.array().cast("array<struct<reason:string,count:bigint>>"))
+    first = F.col("x")[0]
+    return by.filter(F.size("x") > 0).select("cluster_id", first["reason"].alias("top"), first["cited"].alias("top_cited"), (-first["k"]).alias("top_count"), F.size("x").alias("kinds"), "total", F.concat(named, rest).alias("variants"))
+
+
+def root_causes(clusters: DataFrame, scores: DataFrame, edges: DataFrame, strong: float = STRONG, causes: DataFrame | None = None) -> DataFrame:
+    """cluster_id, is_root_cause, confidence, reason, cause, variants, name.
+
+    CONFIRMED: entries of the cluster name an innermost cause, and the lines of the most frequent one can be cited.  Without causes
+    (cluster_id, cause, count, cited) the sample's own is taken.  LIKELY, the first that holds: such a cause out of reach; a source
+    of the graph of references and nearness; the earliest of its window of 60 seconds, if words of a cause prevail in it; strong words.  All
+    else is INSUFFICIENT, with the earliest cluster upstream or words of a consequence as its reason.  name is the
+    most frequent cause, or the summary.
     """
-    lines = causal_lines(F.col("sample.stack"), F.col("sample.message"))
-    base = clusters.select("cluster_id", deepest_cause(lines).alias("cause"), F.coalesce("citable", F.lit(True)).alias("citable") if "citable" in clusters.columns else F.lit(True).alias("citable"))
-    one = base.join(scores, "cluster_id").join(graph_sources(edges).select("cluster_id", F.lit(True).alias("is_source")), "cluster_id", "left").join(first_in_window(clusters).select("cluster_id", F.lit(True).alias("is_first")), "cluster_id", "left")
-    named = F.col("cause") != ""
-    confidence = F.when(named & F.col("citable"), "CONFIRMED").when(named | F.col("is_source") | (F.col("is_first") & (F.col("score") > 0)) | (F.col("score") >= strong), "LIKELY")
+    citable = F.coalesce("citable", F.lit(True)) if "citable" in clusters.columns else F.lit(True)
+    base = clusters.select("cluster_id", "summary", "first_seen", "first_line", deepest_cause(causal_lines(F.col("sample.stack"), F.col("sample.message"))).alias("own"), citable.alias("citable"))
+    if causes is None:
+        causes = base.filter("own <> ''").select("cluster_id", F.col("own").alias("cause"), F.lit(1).cast("long").alias("count"))
+    links = edges.select("source", "target").unionByName(temporal_edges(clusters)).filter("source <> target").distinct()
+    derived = links.groupBy(F.col("source").alias("cluster_id")).agg(F.count("*").alias("n_out"))
+    early = base.select(F.col("cluster_id").alias("source"), F.col("summary").alias("up"), F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order_key()))).alias("rank"))
+    upstream = links.join(early, "source").groupBy(F.col("target").alias("cluster_id")).agg(F.min_by("up", "rank").alias("up"), F.lit(True).alias("led"))
+    passive = _words(clusters).filter("kind = 'cascade'").select("cluster_id", F.lit(True).alias("passive")).distinct()
+    first = first_in_window(clusters, least=1).select("cluster_id", "slot", F.col("held").alias("crowd"))
+    one = base.join(scores, "cluster_id")
+    for more in (variants(causes), derived, upstream, passive, first):
+        one = one.join(more, "cluster_id", "left")
+    named, led = F.col("top").isNotNull(), F.coalesce("led", F.lit(False))
+    # the sample's lines stand for the main cause only where they name it
+    sure = named & F.coalesce("top_cited", F.lit(False)) | (named & (F.col("own") == F.col("top")) & F.col("citable"))
+    source = F.col("n_out").isNotNull() & ~led
+    one = one.withColumn("sure", sure).withColumn("opens", F.coalesce(F.col("slot").isNotNull() & (F.col("score") > 0) & ~named & ~source, F.lit(False))).withColumn("source", source)
+    earliest = one.filter("opens").agg(F.min("slot").alias("slot0"))
+    one = one.join(F.broadcast(earliest))
+    confidence = F.when(F.col("sure"), "CONFIRMED").when(named | F.col("source") | F.col("opens") | (F.col("score") >= strong), "LIKELY").otherwise("INSUFFICIENT")
+    told = F.when(F.col("kinds") > 1, F.format_string("%s (one of %d causes, %d of %d times)", "top", F.col("kinds"), F.col("top_count"), F.col("total"))).otherwise(F.col("top"))
     reason = (
-        F.when(named & F.col("citable"), F.concat(F.lit("cause named in the entry: "), F.col("cause")))
-        .when(named, F.concat(F.lit("cause named, but its lines cannot be cited: "), F.col("cause")))
-        .when(F.col("is_source"), "referred to by later clusters, refers to none")
-        .when(F.col("is_first") & (F.col("score") > 0), "first of its window, with words of a cause")
+        F.when(F.col("sure"), F.concat(F.lit("cause named in the entry: "), told))
+        .when(named, F.concat(F.lit("cause named, but its lines cannot be cited: "), told))
+        .when(F.col("source"), F.format_string("source of the graph: %d clusters derive from it", "n_out"))
+        .when(F.col("opens") & (F.col("slot") > F.col("slot0")), "earliest of a later window, with words of a cause")
+        .when(F.col("opens") & (F.col("crowd") == 1), "alone in its window, with words of a cause")
+        .when(F.col("opens"), "earliest of the first window, with words of a cause")
         .when(F.col("score") >= strong, "words of a cause")
-        .when(F.col("score") < 0, "words of a consequence")
+        .when(led, F.concat(F.lit("seems to derive from: "), F.substring("up", 1, 40)))
+        .when(F.col("passive"), "words of a consequence")
         .otherwise("no evidence of its own")
     )
-    return one.select("cluster_id", confidence.isNotNull().alias("is_root_cause"), F.coalesce(confidence, F.lit("")).alias("confidence"), reason.alias("reason"), "cause")
+    return one.select("cluster_id", (confidence != "INSUFFICIENT").alias("is_root_cause"), confidence.alias("confidence"), reason.alias("reason"), F.coalesce("top", F.lit("")).alias("cause"), "variants", F.coalesce("top", "summary").alias("name"))
 
 
 def priorities(clusters: DataFrame, time_start: float | None, time_end: float | None) -> DataFrame:
@@ -176,40 +239,60 @@ def priorities(clusters: DataFrame, time_start: float | None, time_end: float |
     return out.select("cluster_id", priority.alias("priority"), label.alias("label"))
 
 
-def inventory(clusters: DataFrame) -> DataFrame:
-    """One row: what there is to conclude from."""
-    return clusters.agg(
+def inventory(clusters: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row: what there is to conclude from.  found: the chains of the run."""
+    best = clusters.filter("confidence = 'LIKELY'").agg(F.max("priority").alias("best"))
+    by = clusters.join(F.broadcast(best)).agg(
         F.count("*").alias("clusters"), F.coalesce(F.max(F.col("first_seen").isNotNull()), F.lit(False)).alias("timestamps"), F.coalesce(F.max(F.size("sample.stack") > 0), F.lit(False)).alias("stacks"),
         F.countDistinct(F.nullif("module", F.lit(""))).alias("modules"), F.countDistinct("level").alias("levels"), F.count_if(F.col("confidence") == "CONFIRMED").alias("confirmed"),
         F.count_if(F.col("confidence") == "LIKELY").alias("likely"), F.coalesce(F.max("priority"), F.lit(0.0)).alias("top"),
+        F.count_if((F.col("confidence") == "LIKELY") & (F.col("best") - F.col("priority") < RIVAL)).alias("close"),
     )
+    if found is None:
+        return by.withColumn("chains", F.lit(0).cast("long")).withColumn("crossing", F.lit(0).cast("long"))
+    return by.join(F.broadcast(found.agg(F.count("*").alias("chains"), F.count_if(F.col("n_modules") >= 2).alias("crossing"))))
 
 
 # Codes of what is missing, with their weight.
 GAPS = {"no_causal_chain": 100, "ambiguous_candidates": 90, "single_module": 80, "no_correlation_id": 75, "no_timestamps": 70, "no_stacks": 60, "single_module_no_chain": 45, "no_baseline": 40}
 
 
-def assess(row, close: int, correlated: bool, baseline: bool = False) -> dict:
-    """Verdict, gaps and whether a conclusion is possible, from the inventory row.
-
-    close: how many LIKELY clusters lie within 5 points of the best."""
-    gaps = []
-    if not row.confirmed:
-        gaps.append("no_causal_chain")
-        if close > 1:
-            gaps.append("ambiguous_candidates")
-    if row.modules <= 1:
-        gaps.append("single_module" if row.confirmed else "single_module_no_chain")
-    if not correlated:
-        gaps.append("no_correlation_id")
-    if not row.timestamps:
-        gaps.append("no_timestamps")
-    if not row.stacks:
-        gaps.append("no_stacks")
-    if not baseline:
-        gaps.append("no_baseline")
-    verdict = "CONFIRMED" if row.confirmed else "LIKELY" if row.likely else "INSUFFICIENT"
-    return {"verdict": verdict, "can_conclude": bool(row.confirmed), "gaps": sorted(gaps, key=lambda g: -GAPS[g])}
+def gaps(have: DataFrame, n_errors: int) -> DataFrame:
+    """code, weight of what is missing for a conclusion, heaviest first.  have: the inventory."""
+    c = F.col
+    unsure = c("confirmed") == 0
+    narrow = (c("modules") <= 1) & (c("clusters") > 0)
+    when = {
+        "no_causal_chain": unsure,
+        "ambiguous_candidates": c("close") > 1,
+        "single_module": narrow & (c("crossing") == 0),
+        "no_correlation_id": unsure & (c("clusters") > 0) & (c("chains") == 0),
+        "no_timestamps": ~c("timestamps"),
+        "no_stacks": ~c("stacks"),
+        "single_module_no_chain": narrow & (c("crossing") > 0),
+        "no_baseline": ~c("timestamps") & F.lit(n_errors >= 10),
+    }
+    rows = F.array(*(F.when(when[code], F.struct(F.lit(code).alias("code"), F.lit(weight).alias("weight"))) for code, weight in GAPS.items()))
+    return have.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("x.code", "x.weight").orderBy(F.desc("weight"))
+
+
+def candidates(clusters: DataFrame, most: int = 5) -> DataFrame:
+    """The clusters to look at first: CONFIRMED ones, or LIKELY ones if there are none; by priority, then count."""
+    sure = clusters.agg(F.count_if(F.col("confidence") == "CONFIRMED").alias("sure"))
+    wanted = clusters.join(F.broadcast(sure)).filter(F.col("confidence") == F.when(F.col("sure") > 0, "CONFIRMED").otherwise("LIKELY")).drop("sure")
+    return wanted.orderBy(F.desc("priority"), F.desc("count"), "cluster_id").limit(most)
+
+
+def verdict(clusters: DataFrame) -> DataFrame:
+    """One row: verdict, can_conclude, headline.  Only a CONFIRMED cluster makes a conclusion."""
+    best = candidates(clusters, 1).agg(F.first("confidence").alias("confidence"), F.first("name").alias("name"), F.first("first_line").alias("line"))
+    word = F.coalesce("confidence", F.lit("INSUFFICIENT"))
+    headline = (
+        F.when(word == "CONFIRMED", F.format_string("Root cause: %s (named in the entry, line %d)", F.substring("name", 1, 60), F.col("line")))
+        .when(word == "LIKELY", F.format_string("Most likely: %s; inferred, not proven", F.substring("name", 1, 50)))
+        .otherwise("No root cause can be told from this log")
+    )
+    return best.select(word.alias("verdict"), (word == "CONFIRMED").alias("can_conclude"), headline.alias("headline"))
 
 
 def timeline(edges: list[tuple[int, int]], start: int, most: int = 5) -> list[int]:

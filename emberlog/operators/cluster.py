@@ -11,7 +11,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import SUMMARY_CHARS, causal_lines, deepest_cause, mask
@@ -103,6 +103,14 @@ def instances(held: DataFrame) -> DataFrame:
     return held.withColumn("nth", nth).filter(F.col("nth") <= META).select("cluster_id", "nth", "line_no", "ts", F.when(F.col("nth") <= DETAILED, F.col("full_message")).alias("detail"))
 
 
+def detailed(held: DataFrame, found: DataFrame) -> DataFrame:
+    """The members that a report can show in full: the first DETAILED of each cluster, and its sample."""
+    nth = F.row_number().over(Window.partitionBy("cluster_id").orderBy("line_no"))
+    first = held.withColumn("nth", nth).filter(F.col("nth") <= DETAILED).drop("nth")
+    sample = held.join(found.select("cluster_id", F.col("sample.line_no").alias("line_no")), ["cluster_id", "line_no"], "left_semi")
+    return first.unionByName(sample).dropDuplicates(["cluster_id", "line_no"])
+
+
 def correlation_ids(held: DataFrame) -> DataFrame:
     """Each cluster's first IDS distinct ids, by first line."""
     first = held.filter("correlation_id IS NOT NULL").groupBy("cluster_id", "correlation_id").agg(F.min("line_no").alias("at"))
@@ -113,11 +121,34 @@ def correlation_ids(held: DataFrame) -> DataFrame:
 def causes(held: DataFrame) -> DataFrame:
     """Each cluster's innermost causes with counts: the first CAUSES by first line, the rest as overflow (cause null)."""
     deep = held.withColumn("cause", deepest_cause(causal_lines(F.col("stack"), F.col("message")))).filter("cause <> ''")
-    by = deep.groupBy("cluster_id", "cause").agg(F.count("*").alias("count"), F.min("line_no").alias("first_line"))
+    # whether the first entry that names a cause can be cited, where held knows it
+    cited = [F.min_by("cited", "line_no").alias("cited")] if "cited" in held.columns else []
+    by = deep.groupBy("cluster_id", "cause").agg(F.count("*").alias("count"), F.min("line_no").alias("first_line"), *cited)
     nth = F.row_number().over(Window.partitionBy("cluster_id").orderBy("first_line", "cause"))
     kept = by.withColumn("nth", nth)
     shown = F.when(F.col("nth") <= CAUSES, F.col("cause"))
-    return kept.withColumn("cause", shown).groupBy("cluster_id", "cause").agg(F.sum("count").alias("count"), F.min("first_line").alias("first_line"))
+    more = [F.min_by("cited", "first_line").alias("cited")] if cited else []
+    return kept.withColumn("cause", shown).groupBy("cluster_id", "cause").agg(F.sum("count").alias("count"), F.min("first_line").alias("first_line"), *more)
+
+
+def literal_tokens(template: Column) -> Column:
+    """The distinct words of a template that are not masks, sorted."""
+    bare = F.regexp_replace(template, r"\b0xH\b|\b[USHPN]\b", " ")
+    return F.array_sort(F.array_distinct(F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")))
+
+
+def distribution(clusters: DataFrame, key: str, top: int | None = 10) -> DataFrame:
+    """key, n: entries by level or module, most first; the first top of them."""
+    out = clusters.groupBy(key).agg(F.sum("count").alias("n")).orderBy(F.desc("n"), key)
+    return out.limit(top) if top else out
+
+
+def lookup(clusters: DataFrame, module: str | None = None, level: str | None = None, cluster_id: int | None = None) -> DataFrame:
+    """Clusters of a module, a level (in any case), or with a number."""
+    for column, value in (("module", module), ("level", level and level.upper()), ("cluster_id", cluster_id)):
+        if value is not None:
+            clusters = clusters.filter(F.col(column) == value)
+    return clusters
 
 
 def slots(held: DataFrame, most: int = 4, top: int = 3, first: int = 200) -> DataFrame:

@@ -38,6 +38,26 @@ def refs(lines: DataFrame, ranges: DataFrame, kind: str = "entry") -> DataFrame:
     return out.withColumn("ref_id", ref_id(F.col("source"), F.col("start_line"), F.col("end_line"), F.lit(kind), F.col("sha256")))
 
 
+def split_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """key, source, start_line, end_line: ranges (key, first, last) of line_no over a run's files, as one range for each file they
+    touch.  A range of which any line is missing gives none."""
+    size = 256
+    a = ranges.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size))))
+    b = lines.select("file_seq", "source", "file_line_no", "line_no", F.floor(F.col("line_no") / size).alias("block"))
+    held = a.join(b, "block").filter(F.col("line_no").between(F.col("first"), F.col("last")))
+    parts = held.groupBy("key", "first", "last", "file_seq", "source").agg(F.min("file_line_no").alias("start_line"), F.max("file_line_no").alias("end_line"), F.count("*").alias("n"))
+    whole = parts.groupBy("key", "first", "last").agg(F.sum("n").alias("found")).filter("found = last - first + 1")
+    return parts.join(whole, ["key", "first", "last"]).select("key", "source", "start_line", "end_line")
+
+
+def out_of_file(clusters: DataFrame, lines: DataFrame) -> DataFrame:
+    """Clusters (source, first_line, last_line: as shown in a report) whose lines are not in their file: with file_lines.  A source that is not there is not judged."""
+    sizes = lines.groupBy("source").agg(F.max("file_line_no").alias("file_lines"))
+    wrong = (F.col("first_line") < 1) | (F.col("last_line") < F.col("first_line")) | (F.col("last_line") > F.col("file_lines"))
+    told = (F.col("first_line") > 0) | (F.col("last_line") > 0)
+    return clusters.join(sizes, "source").filter(told & wrong)
+
+
 def verify(references: DataFrame, lines: DataFrame) -> DataFrame:
     """references (ref_id, source, start_line, end_line, sha256) with status, against the lines as they are now."""
     there = lines.groupBy("source").agg(F.max("file_line_no").alias("size"))

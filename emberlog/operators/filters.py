@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import levels, times
+from emberlog.functions.text import causal_lines, has_cause
 
 # Fixed value: what counts as a change of the running system.
 CHANGE = (
@@ -79,6 +80,27 @@ def changes(entries: DataFrame) -> DataFrame:
     return kept.select("line_no", "source", "ts", F.substring("full_message", 1, 200).alias("text")).orderBy("line_no").limit(MAX_CHANGES)
 
 
+# From how many entries on, and up to which share of them kept, a filter is worth a word.
+NOTICE_ENTRIES, NOTICE_SHARE = 50, 0.15
+
+
+def notice(entries: DataFrame, f: Filter) -> DataFrame:
+    """One row if the filter leaves next to nothing: total, kept, causal_dropped, level_counts (by count), text; else none.
+
+    causal_dropped counts entries left out that are no errors and name a cause: the root cause may be among them."""
+    lines = causal_lines(F.col("stack"), F.col("message"))
+    kept = F.coalesce(matches(f), F.lit(False))
+    lost = ~kept & ~F.col("level").isin(*levels.ERRORS) & has_cause(lines)
+    by = entries.groupBy("level").agg(F.count("*").alias("n"), F.count_if(kept).alias("kept"), F.count_if(lost).alias("lost"))
+    one = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"), F.coalesce(F.sum("lost"), F.lit(0)).alias("causal_dropped"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "level"))).alias("x"))
+    counts = F.transform("x", lambda v: F.struct(v["level"].alias("level"), (-v["k"]).alias("n")))
+    shown = F.array_join(F.transform(F.slice("level_counts", 1, 5), lambda v: F.concat_ws(" ", v["level"], v["n"].cast("string"))), " / ")
+    warning = F.when(F.col("causal_dropped") > 0, F.format_string("%d entries that were left out name a cause. ", "causal_dropped")).otherwise("")
+    said = F.concat(warning, F.format_string("The filter keeps %d of %d entries (%.1f%%); levels: ", "kept", "total", 100 * F.col("kept") / F.col("total")), shown)
+    few = (F.col("total") >= NOTICE_ENTRIES) & (F.col("kept") <= NOTICE_SHARE * F.col("total"))
+    return one.filter(few).withColumn("level_counts", counts).select("total", "kept", "causal_dropped", "level_counts", said.alias("text"))
+
+
 def split_keywords(text: str) -> list[str]:
     """Keywords of one input field, cut at commas, semicolons and line ends of any width."""
     return [w.strip() for w in re.split(r"[,;，；、\n]", text) if w.strip()]

@@ -40,6 +40,17 @@ def own_bursts(hist: DataFrame, key: str = "cluster_id", k: float = 3.0, buckets
     return enough.join(hot, key).filter("high = peak").select(key, "peak", "limit")
 
 
+def global_bursts(entries: DataFrame, hist: DataFrame, key: str = "cluster_id", k: float = 3.0) -> DataFrame:
+    """Clusters whose peak (the first of equals, hist: their own histogram) begins in a bucket in which all entries burst.
+
+    Buckets of both meet by their number on the global scale, an equi-join."""
+    every = histogram(entries, (), GLOBAL_BUCKETS)
+    scale = every.agg(F.min("t").alias("origin"), F.first("width").alias("step"))
+    hot = bursts(every, (), k).select("t").join(F.broadcast(scale)).select(F.round((F.col("t") - F.col("origin")) / F.col("step")).cast("long").alias("slot"))
+    peaks = hist.groupBy(key).agg(F.min_by("t", F.struct((-F.col("n")).alias("a"), F.col("t").alias("b"))).alias("peak_t")).join(F.broadcast(scale))
+    return peaks.withColumn("slot", F.floor((F.col("peak_t") - F.col("origin")) / F.col("step")).cast("long")).join(F.broadcast(hot), "slot", "left_semi").select(key, "peak_t")
+
+
 def periodic(held: DataFrame, key: str = "cluster_id", variation: float = 0.10, least: int = 4) -> DataFrame:
     """Clusters whose steps in time are even: deltas over 1 ms, their population CV at most variation."""
     delta = F.col("ts") - F.lag("ts").over(Window.partitionBy(key).orderBy("ts", "line_no"))
@@ -79,9 +90,9 @@ def surge(held: DataFrame, start: float, end: float, least: int = 2, z: float =
     return scored.filter((F.col("inside") >= least) & (F.col("z") >= z)).select("cluster_id", "inside", "expected", "z")
 
 
-def first_in_window(clusters: DataFrame, size: int = 60) -> DataFrame:
-    """The earliest cluster of each tumbling window of first_seen that holds two or more."""
+def first_in_window(clusters: DataFrame, size: int = 60, least: int = 2) -> DataFrame:
+    """The earliest cluster of each tumbling window of first_seen that holds least or more."""
     slot = F.floor(F.col("first_seen") / size)
     over = Window.partitionBy("slot")
     ranked = clusters.filter("first_seen IS NOT NULL").withColumn("slot", slot).withColumn("held", F.count("*").over(over)).withColumn("nth", F.row_number().over(over.orderBy("first_seen", "first_line")))
-    return ranked.filter("held >= 2 AND nth = 1").select("cluster_id", "slot", "held")
+    return ranked.filter((F.col("held") >= least) & (F.col("nth") == 1)).select("cluster_id", "slot", "held")

@@ -40,6 +40,7 @@ class Result:
     stats: DataFrame
     changes: DataFrame
     traces: DataFrame
+    chains: DataFrame
     options: Options
 
     def top(self, n: int | None = 20) -> DataFrame:
@@ -49,9 +50,17 @@ class Result:
         return out.limit(n) if n else out
 
     def verdict(self) -> dict:
-        row = analysis.inventory(self.clusters).first()
-        close = self.clusters.filter((F.col("confidence") == "LIKELY") & (F.col("priority") >= F.lit(row.top) - 5)).count()
-        return analysis.assess(row, close, self.entries.filter("correlation_id IS NOT NULL").limit(1).count() > 0)
+        """Verdict, headline, candidates and gaps: a few rows each."""
+        have = analysis.inventory(self.clusters, self.chains)
+        told = analysis.verdict(self.clusters).first().asDict()
+        missing = [r.code for r in analysis.gaps(have, self.stats.first().n_errors).collect()]
+        first = [r.asDict() for r in analysis.candidates(self.clusters).select("cluster_id", "level", "module", "name", "count", "priority", "confidence", "reason", "first_line", "last_line").collect()]
+        return told | {"gaps": missing, "candidates": first}
+
+    def notice(self) -> str:
+        """What a filter that leaves next to nothing has left out; empty for all others."""
+        row = filters.notice(self.entries, self.options.filter).first()
+        return row.text if row else ""
 
 
 def run(lines: DataFrame, options: Options | None = None) -> Result:
@@ -68,19 +77,28 @@ def run(lines: DataFrame, options: Options | None = None) -> Result:
     found = cut(cluster.clusters(held), "found")
     stats = cut(filters.stats(every), "stats")
     changes = cut(filters.changes(every), "changes")
+    # chains are those of the entries that a report can show
+    detailed = cut(cluster.detailed(held, found), "detailed")
+    chains = cut(analysis.chains(detailed), "chains")
     if o.analyse:
+        found = found.join(analysis.attach_traces(detailed, chains), "cluster_id", "left")
         found = _analysed(found, held, stats, changes, o)
-    return Result(lines, every, held, held, found, stats, changes, analysis.traces(every), o)
+    return Result(lines, every, held, held, found, stats, changes, analysis.traces(detailed), chains, o)
 
 
 def _analysed(found: DataFrame, held: DataFrame, stats: DataFrame, changes: DataFrame, o: Options) -> DataFrame:
     found = found.withColumn("citable", evidence.citable(F.col("sample.line_no"), F.col("sample.next_start"), o.context, F.col("sample.last_line_no")))
     words = cut(analysis.cluster_tokens(found), "words")
     row = stats.first()
-    bursts = timeline.own_bursts(timeline.histogram(held, ("cluster_id",)), k=2.0 if o.deep else 3.0)
+    k = 2.0 if o.deep else 3.0
+    hist = cut(timeline.histogram(held, ("cluster_id",)), "hist")
+    every = timeline.global_bursts(held, hist, k=k)
+    bursts = timeline.own_bursts(hist, k=k).select("cluster_id").unionByName(every.select("cluster_id"))
     odd = cut(analysis.anomalies(found, cut(bursts, "bursts"), cut(timeline.periodic(held), "periodic"), words, row.n_errors, 5 if o.deep else 10), "anomalies")
     edges = cut(analysis.cross_edges(words, found), "edges")
-    roots = cut(analysis.root_causes(found, cut(analysis.keyword_scores(found), "scores"), edges, 2.0 if o.deep else analysis.STRONG), "roots")
+    cited = held.withColumn("cited", evidence.citable(F.col("line_no"), F.col("next_start"), o.context, F.col("last_line_no")))
+    causes = cut(cluster.causes(cited), "causes")
+    roots = cut(analysis.root_causes(found, cut(analysis.keyword_scores(found), "scores"), edges, 2.0 if o.deep else analysis.STRONG, causes), "roots")
     out = cut(found.join(odd, "cluster_id").join(roots, "cluster_id"), "judged")
     context = analysis.change_context(found, changes).select("cluster_id", F.col("change").alias("change_context"))
     return cut(out.join(analysis.priorities(out, row.time_start, row.time_end), "cluster_id").join(context, "cluster_id", "left"), "analysed")

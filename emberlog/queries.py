@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from emberlog.functions import levels, text, times
 from emberlog.operators import analysis, assemble, cluster, compare, evidence, filters, rules, structured, timeline
 from emberlog.sources import lines as source
+from emberlog.sources.shared import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -415,9 +416,10 @@ def trace_chains(spark, sf_dir):
 
 def _analysed(spark, sf_dir):
     held, c = event_clusters(spark, sf_dir)
-    words = analysis.cluster_tokens(c)
+    c = cut(c, "found")
+    words = cut(analysis.cluster_tokens(c), "words")
     found = analysis.anomalies(c, timeline.own_bursts(timeline.histogram(held, ("cluster_id",))), timeline.periodic(held), words, 100)
-    roots = analysis.root_causes(c, analysis.keyword_scores(c), analysis.cross_edges(words, c))
+    roots = analysis.root_causes(c, cut(analysis.keyword_scores(c), "scores"), cut(analysis.cross_edges(words, c), "edges"))
     return c.join(found, "cluster_id").join(roots, "cluster_id")
 
 
@@ -455,6 +457,124 @@ def gap_inventory(spark, sf_dir):
     return analysis.inventory(c).select("clusters", "timestamps", "stacks", "modules", "levels")
 
 
+# The ladder of root causes over the clusters of _caused: errors name causes, all else is inferred.
+_LADDER = _KW + """, np AS (SELECT a.cluster_id, max_by(b.cluster_id, (b.last_line, -b.cluster_id)) AS prior FROM c a JOIN c b ON b.first_line < a.first_line GROUP BY a.cluster_id),
+w AS (SELECT DISTINCT cluster_id, unnest(regexp_extract_all(lower(substr(summary, 1, 160) || ' ' || template), '[a-z_]{3,}')) AS token FROM c),
+sz AS (SELECT cluster_id, count(*) AS size FROM w GROUP BY 1), df AS (SELECT token, count(*) AS df FROM w GROUP BY 1),
+ov AS (SELECT a.cluster_id, b.cluster_id AS other, count(*) AS common, min(df.df) AS rarest, any_value(sz.size) AS size FROM w a JOIN w b ON a.token = b.token AND a.cluster_id <> b.cluster_id JOIN df ON df.token = a.token JOIN sz ON sz.cluster_id = a.cluster_id GROUP BY 1, 2),
+ed AS (SELECT ov.other AS source, ov.cluster_id AS target FROM ov JOIN c a ON a.cluster_id = ov.cluster_id JOIN c b ON b.cluster_id = ov.other WHERE b.first_line < a.first_line AND ov.size >= 2 AND common / ov.size >= 0.6 AND (common = ov.size OR rarest <= 2)
+ UNION SELECT prior, cluster_id FROM np JOIN c USING (cluster_id) WHERE level = 'ERROR'),
+ca AS (SELECT cluster_id, 'root ' || module || (line_no % 37) AS cause, count(*) AS n, min(line_no) AS first_at FROM h WHERE level = 'ERROR' GROUP BY 1, 2),
+cr AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY first_at, cause) AS nth, sum(n) OVER (PARTITION BY cluster_id) AS total FROM ca),
+tp AS (SELECT cluster_id, min_by(cause, (-n, cause)) AS top, max(n) AS top_count, count(*) AS kinds, any_value(total) AS total FROM cr WHERE nth <= 32 GROUP BY 1),
+sc AS (SELECT c.cluster_id, coalesce(sum(CASE wt.kind WHEN 'root' THEN weight ELSE -weight END), 0) AS score, coalesce(bool_or(hit.kind = 'cascade'), FALSE) AS passive FROM c LEFT JOIN hit USING (cluster_id) LEFT JOIN wt USING (word, kind) GROUP BY 1),
+fw AS (SELECT cluster_id, floor(first_seen / 60) AS slot, count(*) OVER (PARTITION BY floor(first_seen / 60)) AS crowd, row_number() OVER (PARTITION BY floor(first_seen / 60) ORDER BY first_seen, first_line) AS nth FROM c),
+lk AS (SELECT c.*, score, passive, top, top_count, kinds, total, CASE WHEN fw.nth = 1 THEN slot END AS slot, crowd, (SELECT count(*) FROM ed WHERE source = c.cluster_id) AS n_out,
+ (SELECT min_by(u.summary, (u.first_seen, u.first_line)) FROM ed JOIN c u ON u.cluster_id = ed.source WHERE ed.target = c.cluster_id) AS up FROM c JOIN sc USING (cluster_id) LEFT JOIN tp USING (cluster_id) LEFT JOIN fw USING (cluster_id)),
+op AS (SELECT *, top IS NULL AND NOT (n_out > 0 AND up IS NULL) AND slot IS NOT NULL AND score > 0 AS opens FROM lk),
+la AS (SELECT *, CASE WHEN top IS NOT NULL THEN 'CONFIRMED' WHEN (n_out > 0 AND up IS NULL) OR opens OR score >= 3 THEN 'LIKELY' ELSE 'INSUFFICIENT' END AS confidence,
+ CASE WHEN top IS NOT NULL THEN 'cause named in the entry: ' || top || CASE WHEN kinds > 1 THEN ' (one of ' || kinds || ' causes, ' || top_count || ' of ' || total || ' times)' ELSE '' END
+  WHEN n_out > 0 AND up IS NULL THEN 'source of the graph: ' || n_out || ' clusters derive from it' WHEN opens AND slot > (SELECT min(slot) FROM op WHERE opens) THEN 'earliest of a later window, with words of a cause'
+  WHEN opens AND crowd = 1 THEN 'alone in its window, with words of a cause' WHEN opens THEN 'earliest of the first window, with words of a cause' WHEN score >= 3 THEN 'words of a cause'
+  WHEN up IS NOT NULL THEN 'seems to derive from: ' || substr(up, 1, 40) WHEN passive THEN 'words of a consequence' ELSE 'no evidence of its own' END AS reason FROM op)
+"""
+
+
+def _ladder(spark, sf_dir):
+    """(members, clusters with their verdicts) of the log whose errors name causes."""
+    held = _caused(spark, sf_dir)
+    c = cut(cluster.clusters(held), "found")
+    edges = cut(analysis.cross_edges(analysis.cluster_tokens(c), c), "edges")
+    scores, causes = cut(analysis.keyword_scores(c), "scores"), cut(cluster.causes(held.withColumn("cited", F.lit(True))), "causes")
+    return held, cut(c.join(analysis.root_causes(c, scores, edges, causes=causes), "cluster_id"), "judged")
+
+
+@query(_LADDER + "SELECT CAST(cluster_id AS BIGINT) AS cluster_id, confidence, confidence <> 'INSUFFICIENT' AS is_root_cause, reason, coalesce(top, substr(summary, 1, 160)) AS name FROM la")
+def root_cause_ladder(spark, sf_dir):
+    return _ladder(spark, sf_dir)[1].select(F.col("cluster_id").cast("long").alias("cluster_id"), "confidence", "is_root_cause", "reason", "name")
+
+
+# Chains of the event log: ids of users are long enough from two digits on.
+_CH = """, ch AS (SELECT correlation_id, count(*) AS n_steps, count(DISTINCT module) AS n_modules FROM h WHERE length(correlation_id) BETWEEN 6 AND 64 GROUP BY 1 HAVING count(*) >= 2 AND (count(DISTINCT module) >= 2 OR bool_or(level IN ('ERROR', 'FAIL'))))
+"""
+
+
+@query(_E + _CH + """, p AS (SELECT DISTINCT cluster_id, correlation_id FROM h JOIN ch USING (correlation_id)), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY correlation_id) AS nth FROM p)
+SELECT CAST(cluster_id AS BIGINT) AS cluster_id, string_agg(correlation_id, ',' ORDER BY correlation_id) AS traces FROM r WHERE nth <= 8 GROUP BY 1""")
+def trace_attachment(spark, sf_dir):
+    held, _ = event_clusters(spark, sf_dir)
+    out = analysis.attach_traces(held, analysis.chains(held))
+    return out.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.array_join("traces", ",").alias("traces"))
+
+
+@query(_LADDER + _CH + """, g AS (SELECT (SELECT count(*) FROM la WHERE confidence = 'CONFIRMED') AS sure, (SELECT count(DISTINCT module) FROM la WHERE module <> 'error') AS modules, (SELECT count(*) FROM ch) AS chains,
+ (SELECT count(*) FROM la WHERE confidence = 'LIKELY' AND (SELECT max(count) FROM la WHERE confidence = 'LIKELY') - count < 5) AS close)
+SELECT code, CAST(weight AS INT) AS weight FROM (SELECT 'no_causal_chain' AS code, 100 AS weight, (SELECT count(*) FROM la WHERE module <> 'error' AND confidence = 'CONFIRMED') = 0 AS x
+ UNION ALL SELECT 'ambiguous_candidates', 90, (SELECT count(*) FROM la WHERE module <> 'error' AND confidence = 'LIKELY' AND (SELECT max(count) FROM la WHERE module <> 'error' AND confidence = 'LIKELY') - count < 5) > 1
+ UNION ALL SELECT 'single_module', 80, modules <= 1 FROM g UNION ALL SELECT 'no_correlation_id', 75, chains = 0 FROM g UNION ALL SELECT 'no_stacks', 60, TRUE) WHERE x""")
+def evidence_gaps(spark, sf_dir):
+    held, c = _ladder(spark, sf_dir)
+    rest = c.filter("module <> 'error'").withColumn("priority", F.col("count").cast("double"))
+    return analysis.gaps(analysis.inventory(rest, analysis.chains(held)), 0)
+
+
+@query(_LADDER + "SELECT 'CONFIRMED' AS verdict, TRUE AS can_conclude, 'Root cause: ' || substr(top, 1, 60) || ' (named in the entry, line ' || first_line || ')' AS headline FROM la WHERE confidence = 'CONFIRMED' ORDER BY count DESC, cluster_id LIMIT 1")
+def verdict_headline(spark, sf_dir):
+    return analysis.verdict(_ladder(spark, sf_dir)[1].withColumn("priority", F.lit(0.0)))
+
+
+@query(_E + """, b AS (SELECT *, level = 'ERROR' AND contains(message, 'refused') AS keep FROM e), l AS (SELECT level, count(*) AS n FROM b GROUP BY 1)
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE keep) AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE NOT keep AND module = 'purchase') AS BIGINT) AS causal_dropped, (SELECT string_agg(level || ' ' || n, ' / ' ORDER BY n DESC, level) FROM l) AS levels
+FROM b HAVING count(*) >= 50 AND count(*) FILTER (WHERE keep) <= 0.15 * count(*)""")
+def filter_notice(spark, sf_dir):
+    stack = F.when(F.col("module") == "purchase", F.array(F.lit("Caused by: com.acme.DownError: no route"))).otherwise(F.col("stack"))
+    out = filters.notice(event_log(spark, sf_dir).withColumn("stack", stack), filters.Filter(levels=("ERROR",), include=("refused",)))
+    return out.select("total", "kept", "causal_dropped", F.array_join(F.transform("level_counts", lambda v: F.concat_ws(" ", v["level"], v["n"].cast("string"))), " / ").alias("levels"))
+
+
+# The event log with all errors in one minute.
+_FLOOD = "CASE event_type WHEN 'error' THEN 1704672000.0::DOUBLE + event_id % 60 ELSE epoch_us(ts) / 1e6 END AS ts"
+
+
+@query(_H.replace("epoch_us(ts) / 1e6 AS ts", _FLOOD) + """, gs AS (SELECT min(ts) AS origin, max(ts) - min(ts) AS span FROM h), gw AS (SELECT origin, (SELECT min(8.0 ** k) FROM range(0, 13) AS r(k) WHERE floor(span / 8.0 ** k) < 512) AS step FROM gs),
+gh AS (SELECT CAST(floor((ts - origin) / step) AS BIGINT) AS slot, count(*) AS n FROM h, gw GROUP BY 1), gm AS (SELECT *, median(n) OVER () AS med, count(*) OVER () AS b FROM gh),
+ga AS (SELECT *, median(abs(n - med)) OVER () AS mad FROM gm), hot AS (SELECT slot FROM ga WHERE b >= 2 AND n > greatest(med + 3 * 1.4826 * mad, 2 * med)),
+pk AS (SELECT cluster_id, min_by(t, (-n, t)) AS peak_t FROM hi GROUP BY 1)
+SELECT CAST(cluster_id AS BIGINT) AS cluster_id, peak_t FROM pk, gw WHERE CAST(floor((peak_t - origin) / step) AS BIGINT) IN (SELECT slot FROM hot)""")
+def global_burst_clusters(spark, sf_dir):
+    ts = F.when(F.col("module") == "error", 1704672000.0 + (F.col("line_no") - 1) % 60).otherwise(F.col("ts"))
+    held = cluster.members(cluster.with_template(event_log(spark, sf_dir).withColumn("ts", ts)), threshold=0)
+    return timeline.global_bursts(held, timeline.histogram(held, ("cluster_id",))).withColumn("cluster_id", F.col("cluster_id").cast("long"))
+
+
+@query(_E + "SELECT line_no, 'service restarted by user ' || user_no AS text FROM (SELECT line_no, module, substr(correlation_id, 6) AS user_no FROM e) WHERE module = 'signup' ORDER BY line_no LIMIT 200")
+def change_events_found(spark, sf_dir):
+    said = F.when(F.col("module") == "signup", F.concat(F.lit("service restarted by user "), F.substr("correlation_id", F.lit(6)))).otherwise(F.col("full_message"))
+    return filters.changes(event_log(spark, sf_dir).withColumn("full_message", said)).select("line_no", "text")
+
+
+@query(_E + """, s AS (SELECT *, floor(first_seen / 60) AS slot FROM c), r AS (SELECT *, count(*) OVER (PARTITION BY slot) AS held, row_number() OVER (PARTITION BY slot ORDER BY first_seen, first_line) AS nth FROM s)
+SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(held AS BIGINT) AS held FROM r WHERE nth = 1""")
+def window_earliest(spark, sf_dir):
+    return timeline.first_in_window(event_clusters(spark, sf_dir)[1], least=1).select(F.col("cluster_id").cast("long").alias("cluster_id"), "held")
+
+
+@query(_E + r""", x AS (SELECT DISTINCT template, unnest(string_split_regex(regexp_replace(template, '\b0xH\b|\b[USHPN]\b', ' ', 'g'), '\s+')) AS token FROM e) SELECT template, string_agg(token, ' ' ORDER BY token) AS tokens FROM x WHERE token <> '' GROUP BY 1""")
+def template_literals(spark, sf_dir):
+    found = cluster.templates(cluster.with_template(event_log(spark, sf_dir))).select("template").distinct()
+    return found.select("template", F.array_join(cluster.literal_tokens(F.col("template")), " ").alias("tokens"))
+
+
+@query(_E + "SELECT level, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY 1 ORDER BY n DESC, level")
+def level_distribution(spark, sf_dir):
+    return cluster.distribution(event_clusters(spark, sf_dir)[1], "level", None)
+
+
+@query(_E + "SELECT CAST(cluster_id AS BIGINT) AS cluster_id FROM c WHERE module = 'purchase' AND level = 'WARN'")
+def cluster_lookup(spark, sf_dir):
+    return cluster.lookup(event_clusters(spark, sf_dir)[1], module="purchase", level="warn").select(F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
 # ------------------------------------------------------------------ evidence, comparison, reports
 
 _R = _L + ", r AS (SELECT source, 1 AS start_line, max(n) AS end_line FROM l GROUP BY 1), d AS (SELECT r.source, start_line, end_line, sha256(string_agg(rtrim(raw, chr(13)), chr(10) ORDER BY n)) AS sha256 FROM r JOIN l ON l.source = r.source AND n BETWEEN start_line AND end_line GROUP BY 1, 2, 3)\n"
@@ -487,6 +607,24 @@ def evidence_verdict(spark, sf_dir):
     return evidence.verdict(evidence.verify(evidence.refs(l, _ranges(l)), l))
 
 
+@query(_L + """, m AS (SELECT source, max(n) AS file_lines FROM l GROUP BY 1) SELECT source, CAST(file_lines AS BIGINT) AS file_lines, CAST(file_lines + CAST(source AS BIGINT) % 3 - 1 AS BIGINT) AS last_line FROM m
+WHERE (CAST(source AS BIGINT) % 3 = 2) OR (file_lines + CAST(source AS BIGINT) % 3 - 1 < 1)""")
+def display_ranges(spark, sf_dir):
+    l = document_lines(spark, sf_dir)
+    shown = _ranges(l).select("source", F.col("start_line").alias("first_line"), (F.col("end_line") + F.col("source").cast("long") % 3 - 1).alias("last_line"))
+    gone = shown.limit(1).select(F.lit("not there").alias("source"), "first_line", "last_line")
+    return evidence.out_of_file(shown.unionByName(gone), l).select("source", "file_lines", "last_line")
+
+
+@query(_L + """, g AS (SELECT source, CAST(n AS BIGINT) AS n, row_number() OVER (ORDER BY doc_id, n) AS line_no FROM l), k AS (SELECT *, (line_no - 1) // 100 AS key FROM g), t AS (SELECT key FROM k GROUP BY 1 HAVING count(*) = 100)
+SELECT CAST(key AS BIGINT) AS key, source, min(n) AS start_line, max(n) AS end_line FROM k JOIN t USING (key) GROUP BY 1, 2""")
+def ranges_by_file(spark, sf_dir):
+    rows = source.consecutive(document_lines(spark, sf_dir))
+    keys = rows.select(F.floor((F.col("line_no") - 1) / 100).alias("key")).distinct()
+    spans = keys.select("key", (F.col("key") * 100 + 1).alias("first"), (F.col("key") * 100 + 100).alias("last"))
+    return evidence.split_ranges(rows, spans).select("key", "source", "start_line", "end_line")
+
+
 @query(_E + """, s AS (SELECT cluster_id AS key, min(line_no) AS p FROM h GROUP BY 1), b AS (SELECT key, 'before' AS side, greatest(p - 5, p + 1 - 69, 1) AS lo, p - 1 AS hi FROM s UNION ALL SELECT key, 'after', p + 1, p + 5 FROM s)
 SELECT CAST(key AS BIGINT) AS key, side, CAST(line_no AS BIGINT) AS line_no FROM b JOIN raw ON line_no BETWEEN lo AND hi""")
 def context_before_after(spark, sf_dir):
@@ -522,6 +660,13 @@ def gone_errors(spark, sf_dir):
     return compare.by_template(*_runs(spark, sf_dir)).filter("status = 'gone'").select("level", "template", "count_a")
 
 
+@query(_E + """, a AS (SELECT DISTINCT level, template FROM e WHERE ts < 1705000000 AND module <> 'purchase') SELECT level, template, CAST(count(*) AS BIGINT) AS count_b FROM e ANTI JOIN a USING (level, template) WHERE ts >= 1705000000 GROUP BY 1, 2""")
+def new_kinds(spark, sf_dir):
+    log = cluster.with_template(event_log(spark, sf_dir))
+    before, after = log.filter("ts < 1705000000 AND module <> 'purchase'"), log.filter("ts >= 1705000000")
+    return compare.by_template(cluster.templates(before), cluster.templates(after)).filter("status = 'new'").select("level", "template", "count_b")
+
+
 @query(None)
 def redact_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
@@ -604,8 +749,8 @@ def deepest_cause(spark, sf_dir):
 
 @query(_LOG + "SELECT CAST(count(*) AS BIGINT) AS n, 'com.acme.DownError: no route' AS cause, TRUE AS confirmed FROM en WHERE level = 'ERROR'")
 def confirmed_causes(spark, sf_dir):
-    e = cluster.with_template(assemble.entries(raw_log(spark, sf_dir)).filter("level = 'ERROR'")).persist()
-    c = cluster.clusters(cluster.members(e, threshold=0)).persist()
+    e = cluster.with_template(assemble.entries(raw_log(spark, sf_dir)).filter("level = 'ERROR'"))
+    c = cut(cluster.clusters(cluster.members(e, threshold=0)), "found")
     none = c.select(F.col("cluster_id").alias("source"), F.col("cluster_id").alias("target")).limit(0)
     roots = analysis.root_causes(c, c.select("cluster_id", F.lit(0.0).alias("score")), none)
     return c.join(roots, "cluster_id").groupBy("cause").agg(F.sum("count").alias("n"), F.min(F.col("confidence") == "CONFIRMED").alias("confirmed"))

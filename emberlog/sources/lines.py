@@ -7,6 +7,7 @@ and a running sum of file sizes, never from one global sort.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,24 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _numbered(out)
 
 
+def oldest_first(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Paths of a rotated log in the order of their time of change; those whose time is unknown stay last, in the given order."""
+
+    def changed(path: str) -> float:
+        try:
+            at = spark.read.format("binaryFile").load(path).agg(F.max(F.unix_micros("modificationTime"))).first()[0]
+        except AnalysisException:
+            at = None
+        return float("inf") if at is None else at
+
+    return sorted(paths, key=changed)
+
+
+def consecutive(lines: DataFrame) -> DataFrame:
+    """Lines of several files with line_no going on from file to file, in the order of file_seq."""
+    return _numbered(lines.select("source", "file_seq", "file_line_no", "raw"))
+
+
 def from_column(df: DataFrame, key: str, text: str, ends: str = "\n") -> DataFrame:
     """Each row's text as a file of its own, in the order of key: source is the key as a string."""
     seq = F.col(key).cast("long")
