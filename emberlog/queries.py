@@ -277,9 +277,9 @@ def cause_counts_capped(spark, sf_dir):
 
 @query(None)
 def similarity_clusters(spark, sf_dir):
-    l = document_lines(spark, sf_dir).filter(F.col("raw").rlike("^[A-Za-z ,.0-9]+$") & (F.length("raw") < 60))
-    found = l.groupBy(F.concat(F.lit("INFO "), F.length("raw").cast("string")).alias("level"), text.mask(F.col("raw")).alias("template")).agg(F.min(F.concat_ws(":", F.lpad("source", 9, "0"), F.lpad(F.col("file_line_no").cast("string"), 9, "0"))).alias("first_line"))
-    return cluster.founders(found)
+    """The event log by similar templates at the standard tier; tests/test_similarity.py holds it against a sequential reader."""
+    held = cluster.members(cluster.with_template(event_log(spark, sf_dir)))
+    return cluster.clusters(held).select(F.col("cluster_id").cast("long").alias("cluster_id"), "level", "template", "summary", "count", "first_line", "last_line")
 
 
 @query(None)
