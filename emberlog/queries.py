@@ -127,7 +127,52 @@ def range_readback(spark, sf_dir):
 
 # ------------------------------------------------------------------ parsing
 
-@query(None)
+#: What \w, \s and \d are in Spark's patterns, for DuckDB, whose classes know ASCII alone.
+_WORD, _SPACE, _NUMBER = r"\p{L}\p{M}\p{Nd}\p{Pc}", r"\t-\r\x{85}\p{Z}", r"\p{Nd}"
+
+
+def _duck(pattern: str) -> str:
+    """A pattern as a DuckDB literal: classes of all scripts, groups named DuckDB's way."""
+    out, inside, k = "", False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        wide = {r"\w": _WORD, r"\s": _SPACE, r"\d": _NUMBER}.get(two)
+        if two[0] == "\\":
+            out += (wide if inside else f"[{wide}]") if wide else (rf"[^{_SPACE}]" if two == r"\S" else two)
+            k += 2
+            continue
+        inside = two[0] == "[" or (inside and two[0] != "]")
+        out += two[0]
+        k += 1
+    return "'" + out.replace("(?<", "(?P<").replace("'", "''") + "'"
+
+
+def _any(patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches(raw, {_duck(p)})" for p in patterns) + ")"
+
+
+def _redacted() -> str:
+    """Redaction of x in DuckDB, which cannot look behind: addresses after a version's word are marked first, as part of a word."""
+    *plain, (address, name) = text.REDACTIONS
+    at = address.index(r"\b")
+    out = "x"
+    for pattern, said in plain:
+        out = f"regexp_replace({out}, {_duck(pattern)}, '{said.replace('$', chr(92))}', 'g')"
+    before = address[len("(?<!") : at - 1]
+    out = f"regexp_replace({out}, {_duck(f'({before})' + address[at:].replace(chr(92) + 'b', '(', 1) + ')')}, '\\1zqvzqv\\2', 'g')"
+    return f"replace(regexp_replace({out}, {_duck(address[at:])}, '{name}', 'g'), 'zqvzqv', '')"
+
+
+_CLAIMS = "|".join(a.replace(".", r"\.") for m in ("level", "message", "error", "exception") for a in structured.ALIASES[m])
+_KINDS = f""", k AS (SELECT *, regexp_matches(raw, '^[ \\t]') AS indented, {_any(rules.STACKS)} AS stack,
+ (regexp_matches(raw, '^[A-Za-z_][A-Za-z0-9_.\\-]*=') AND regexp_matches(raw, '(?i)(^|[^A-Za-z0-9_])({_CLAIMS})=[^ ]') AND regexp_matches(raw, '=.* [A-Za-z_][A-Za-z0-9_.\\-]*='))
+ OR (starts_with(ltrim(raw), chr(123)) AND json_valid(raw) AND regexp_matches(raw, '(?i)"({_CLAIMS})" *:')) AS claimed,
+ {_any(p.replace("{LEVEL}", rules.LEVEL_WORDS) for _, p in rules.GENERIC)} AS known FROM l)
+SELECT CASE WHEN regexp_matches(raw, '^[{_SPACE}]*$') THEN 'BLANK' WHEN claimed THEN 'START' WHEN indented THEN CASE WHEN stack THEN 'IND_STACK' ELSE 'IND_PLAIN' END
+ WHEN regexp_matches(raw, {_duck(rules.FLUSH)}) THEN 'STACK' WHEN known THEN 'START' WHEN stack THEN 'STACK' ELSE 'START' END AS kind"""
+
+
+@query(_L + _KINDS + ", CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1")
 def line_kinds(spark, sf_dir):
     return assemble.classify(document_lines(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -137,6 +182,36 @@ def entry_assembly(spark, sf_dir):
     return assemble.entries(document_lines(spark, sf_dir)).select("source", "file_line_no", "file_last_line_no", "level", "module", F.size("stack").alias("n_stack"), F.size("message_extra").alias("n_extra"))
 
 
+#: Lines of every kind: the lines of documents, each in a form that its place chooses.
+_FORMS = ("{}", "\tat com.acme.Call.run(Call.java:7) {}", "Caused by: {}", "2024-01-02 03:04:05 ERROR [main] {}", " \t ", "    {}", 'level=info msg="ready" {}', "com.acme.BootError: {}", '  {{"level":"warn","message":"m"}}', "Backtrace: {}")
+
+
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = document_lines(spark, sf_dir)
+    form = (F.col("source").cast("long") + F.col("file_line_no")) % len(_FORMS)
+    made = F.coalesce(*(F.when(form == k, F.concat(F.lit(a), F.col("raw"), F.lit(b)) if "{}" in f else F.lit(f.format())) for k, f in enumerate(_FORMS) for a, _, b in [f.partition("{}")]))
+    return l.withColumn("raw", made).withColumn("text", F.col("raw"))
+
+
+_MADE = " ".join("WHEN " + str(k) + " THEN '" + (f.replace("{}", "' || raw || '") if "{}" in f else f.format()) + "'" for k, f in enumerate(_FORMS))
+_MIXED = _L + f", p AS (SELECT source, doc_id, n, raw FROM l), q AS (SELECT source, n, CASE (doc_id + n) % {len(_FORMS)} {_MADE} END AS raw FROM p)" + _KINDS.replace("FROM l)", "FROM q)")
+
+
+@query(_MIXED.replace("END AS kind", "END AS kind, source, CAST(n AS BIGINT) AS file_line_no") + " FROM k")
+def line_kinds_mixed(spark, sf_dir):
+    return assemble.classify(mixed_lines(spark, sf_dir)).select("kind", "source", "file_line_no")
+
+
+@query(_MIXED.replace("SELECT CASE WHEN", ", j AS (SELECT CASE WHEN").replace("END AS kind", "END AS kind, source, n") + """ FROM k),
+g AS (SELECT *, sum(CASE kind WHEN 'START' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY n) AS e FROM j WHERE kind <> 'BLANK'),
+b AS (SELECT *, max(kind IN ('STACK', 'IND_STACK')) OVER (PARTITION BY source, e ORDER BY n) OR e = 0 AS stacky FROM g)
+SELECT source, CAST(min(n) AS BIGINT) AS file_line_no, CAST(max(n) AS BIGINT) AS file_last_line_no, CAST(count(*) FILTER (WHERE kind <> 'START' AND stacky) AS BIGINT) AS n_stack,
+ CAST(count(*) FILTER (WHERE kind <> 'START' AND NOT stacky) AS BIGINT) AS n_extra FROM b GROUP BY source, e""")
+def entry_assembly_mixed(spark, sf_dir):
+    e = assemble.entries(mixed_lines(spark, sf_dir))
+    return e.select("source", "file_line_no", "file_last_line_no", F.size("stack").cast("long").alias("n_stack"), F.size("message_extra").cast("long").alias("n_extra"))
+
+
 @query(_L + r"""SELECT source, CAST(count(*) FILTER (WHERE regexp_matches(raw, '^[ \t\r\f\v]*$')) AS BIGINT) AS blank, CAST(count(*) FILTER (WHERE regexp_matches(raw, '^[ \t]') AND NOT regexp_matches(raw, '^[ \t\r\f\v]*$')) AS BIGINT) AS indented FROM l GROUP BY 1""")
 def blank_and_indented(spark, sf_dir):
     blank = F.col("raw").rlike(r"^[ \t\r\f\x0B]*$")
@@ -667,7 +742,7 @@ def new_kinds(spark, sf_dir):
     return compare.by_template(cluster.templates(before), cluster.templates(after)).filter("status = 'new'").select("level", "template", "count_b")
 
 
-@query(None)
+@query(f"SELECT doc_id, {_redacted()} AS text FROM (SELECT doc_id, text AS x FROM documents)")
 def redact_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
 
