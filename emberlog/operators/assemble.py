@@ -99,7 +99,12 @@ def entries(lines: DataFrame, rule: str | RuleSet | None = None, span_files: boo
     """
     rules = load(rule)
     run = [] if span_files else ["file_seq"]
-    out = _whole(cut(_parts(lines, rules, run), "parts"), run).withColumn("message_extra", F.transform("extra", strip))
+    return describe(_whole(cut(_parts(lines, rules, run), "parts"), run), rules, run)
+
+
+def describe(grouped: DataFrame, rules: RuleSet, run: list[str]) -> DataFrame:
+    """What entries say, from their lines: run, source, start (0: no START line), places, raw, head, extra and stack lines."""
+    out = grouped.withColumn("message_extra", F.transform("extra", strip))
     c, m = F.col("head.claim"), F.col("head.m")
     # each step is a column of its own, so that no expression is written out twice in the plan
     out = out.withColumn("said", F.coalesce(c["message"], m["message"], F.when(F.col("start") > 0, F.col("head.text")), F.lit("")))
