@@ -10,6 +10,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,22 +31,44 @@ def templates(entries: DataFrame) -> DataFrame:
     return entries.groupBy("level", "template").agg(F.count("*").alias("count"), F.min("line_no").alias("first_line"))
 
 
-def lead(new: str, founders: list[str], threshold: float) -> str | None:
-    """The founder that a template joins, or None."""
-    best, score = None, 0.0
-    match = difflib.SequenceMatcher(None)
-    for founder in founders:
-        size = len(new) + len(founder)
-        if size and 2 * min(len(new), len(founder)) / size < max(threshold, score):
-            continue
-        # the second sequence is the one that difflib prepares
-        match.set_seqs(new, founder)
-        if match.quick_ratio() < max(threshold, score):
-            continue
-        r = match.ratio()
-        if r >= threshold and (r > score or (r == score and founder < best)):
-            best, score = founder, r
-    return best
+class Known:
+    """The founders so far of a level.  Counts of characters (modulo BINS) bound difflib's ratio from above, so most founders
+    are ruled out together, and the others are compared from the highest bound down until none can be better."""
+
+    BINS = 128
+
+    def __init__(self, threshold: float):
+        self.threshold, self.names = threshold, []
+        self.sizes, self.counts = np.zeros(64, np.int64), np.zeros((64, self.BINS), np.int32)
+
+    def _count(self, name: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(name.encode("utf-32-le", "surrogatepass"), "<u4") % self.BINS, minlength=self.BINS)
+
+    def add(self, name: str) -> None:
+        n = len(self.names)
+        if n == len(self.sizes):
+            self.sizes, self.counts = np.resize(self.sizes, 2 * n), np.resize(self.counts, (2 * n, self.BINS))
+        self.names.append(name)
+        self.sizes[n], self.counts[n] = len(name), self._count(name)
+
+    def lead(self, new: str) -> str | None:
+        """The founder that a template joins, or None."""
+        sizes = self.sizes[: len(self.names)]
+        total = np.maximum(sizes + len(new), 1)
+        near = np.flatnonzero(2.0 * np.minimum(sizes, len(new)) / total >= self.threshold)
+        bound = 2.0 * np.minimum(self.counts[near], self._count(new)).sum(axis=1) / total[near]
+        best, score = None, self.threshold
+        match = difflib.SequenceMatcher(None)
+        for k in np.argsort(-bound, kind="stable"):
+            if bound[k] < score:
+                break
+            founder = self.names[near[k]]
+            # the second sequence is the one that difflib prepares
+            match.set_seqs(new, founder)
+            r = match.ratio()
+            if r > score or (r == score and (best is None or founder < best)):
+                best, score = founder, r
+        return best
 
 
 def founders(found: DataFrame, threshold: float = TIERS["standard"], keys: tuple[str, ...] = ("level",)) -> DataFrame:
@@ -54,14 +77,15 @@ def founders(found: DataFrame, threshold: float = TIERS["standard"], keys: tuple
         return found.select(*keys, "template", F.col("template").alias("founder"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: list[str] = []
+        known = Known(threshold)
         out = []
-        for row in pdf.sort_values(["first_line", "template"]).itertuples():
-            at = lead(row.template, known, threshold)
+        pdf = pdf.sort_values(["first_line", "template"])
+        for template in pdf["template"]:
+            at = known.lead(template)
             if at is None:
-                known.append(row.template)
-            out.append(at or row.template)
-        result = pdf.sort_values(["first_line", "template"])[[*keys, "template"]].copy()
+                known.add(template)
+            out.append(template if at is None else at)
+        result = pdf[[*keys, "template"]].copy()
         result["founder"] = out
         return result
 

@@ -134,17 +134,23 @@ def test_redaction(spark):
         text.redact(F.lit("x"), ("(",))
 
 
-def test_founders_equal_a_plain_loop():
+@pytest.mark.parametrize("threshold", [0.95, 0.85, 0.7, 0.4])
+def test_founders_equal_a_plain_loop(threshold):
     r = random.Random(3)
-    names = ["".join(r.choice("abc ") for _ in range(r.randrange(5, 12))) for _ in range(60)]
+    names = list(dict.fromkeys("".join(r.choice("abc \u00e9\u4e2d") for _ in range(r.randrange(0, 12))) for _ in range(240)))
+    names += ["x" * 300 + "".join(r.choice("yz") for _ in range(40)) for _ in range(8)]
+    names += [f"opened {c} of the connections in the pool" for c in "abcd"]
     known: list[str] = []
+    found = cluster.Known(threshold)
     for n in names:
         scored = [(difflib.SequenceMatcher(None, n, k).ratio(), k) for k in known]
         best = max((s for s, _ in scored), default=0)
-        expected = min(k for s, k in scored if s == best) if best >= 0.85 else None
-        assert cluster.lead(n, known, 0.85) == expected
+        expected = min(k for s, k in scored if s == best) if scored and best >= threshold else None
+        assert found.lead(n) == expected
         if expected is None:
             known.append(n)
+            found.add(n)
+    assert 0 < len(known) < len(names)
 
 
 def test_filters(spark):
