@@ -3,8 +3,9 @@
 The field labels words by their shapes (digits, letters, punctuation, a few cue words) and those of
 two words to either side.  It is trained here, on a small labelled table that ``training_table``
 writes from templates (SENTENCES of them: a fixed bound), by gradient ascent on the likelihood; the
-best labels come from Viterbi's recursion over whole texts, many at a time in numpy: a text of n
-words takes n steps, which short texts share.
+best labels of whole texts come from Viterbi's recursion, many at a time in numpy.  It runs only where
+a label other than O may pay: a bound over all spans that cover a word shows of most words that the
+best path has O there (``Field.open_words``), and stretches between such words do not depend on each other.
 
 Cases: a null or empty text has no span; repeated rows are scanned alike; an empty
 table gives an empty table; other columns are ignored.
@@ -169,7 +170,11 @@ class Field:
 
     def viterbi(self, code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The best labels (n, t) of padded texts."""
-        s, move = self.scores(code), self.move + self.ban
+        return self.best(self.scores(code), sizes)
+
+    def best(self, s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The best labels (n, t) by scores (n, t, labels)."""
+        move = self.move + self.ban
         n, t, k = s.shape
         back = np.zeros((n, t, k), np.int8)
         best = s[:, 0].copy()
@@ -187,6 +192,70 @@ class Field:
                 label = np.where(inside, back[np.arange(n), i, label], label)
         return out
 
+    def open_words(self, wide: np.ndarray, spots: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+        """Which words a best path may label with anything but O; opens and closes: the words that begin and end a text.
+
+        If a best path had a span of some kind at words s to e, O in its place would not score more.  What the
+        span gains over O is its words' gains, its own moves, and at most the best of the moves from and to any neighbours;
+        the most that a span around a word can gain is the best of all starts up to it and all ends from it, by
+        running maxima over running sums.  Below zero (less what rounding may add), the word is O.
+        """
+        found = np.zeros(len(spots), bool)
+        after = [j for j, x in enumerate(LABELS) if x[0] != "I"]
+        for b in range(1, len(LABELS), 2):
+            i = b + 1
+            head, inner = (sum((self.emit[k, :, j] - self.emit[k, :, 0])[wide[spots + o]] for k, o in enumerate(OFFSETS)) for j in (b, i))
+            head += np.where(opens, 0, (self.move[:, b] - self.move[:, 0]).max())
+            end_b, end_i = (np.where(closes, 0, (self.move[j, after] - self.move[0, after]).max()) for j in (b, i))
+            inner += self.move[i, i] - self.move[0, 0]
+            inner[opens] = -1e4  # no span crosses texts
+            sums = np.cumsum(inner)
+            start, stop = head + self.move[b, i] - self.move[i, i] - sums, sums + end_i
+            most = np.maximum.accumulate(stop[::-1])[::-1]
+            gain = head + end_b
+            gain[:-1] = np.maximum(gain[:-1], start[:-1] + most[1:])
+            gain[1:] = np.maximum(gain[1:], np.maximum.accumulate(start)[:-1] + most[1:])
+            found |= gain >= -1e-9 - 4 * len(sums) * np.finfo(float).eps * np.abs(sums).max()
+        return found
+
+    def labels(self, code: np.ndarray, first: np.ndarray, cells: int = 1 << 18) -> np.ndarray:
+        """The best label of each word of whole texts; first: per text the number of its first word (n + 1 values)."""
+        out = np.zeros(len(code), np.int8)
+        if not len(code):
+            return out
+        worded = np.diff(first) > 0
+        opens, closes = np.zeros(len(code), bool), np.zeros(len(code), bool)
+        opens[first[:-1][worded]] = closes[first[1:][worded] - 1] = True
+        spots = np.arange(len(code)) + 2 * np.cumsum(opens)  # two places of no word before and behind each text
+        wide = np.full(spots[-1] + 3, self.codes - 1, np.int64)
+        wide[spots] = code
+        some = self.open_words(wide, spots, opens, closes)
+        begin, end = some.copy(), some.copy()
+        begin[1:] &= ~some[:-1] | opens[1:]
+        end[:-1] &= ~some[1:] | closes[:-1]
+        begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        sizes, move = end - begin, self.move + self.ban
+        order = np.argsort(sizes, kind="stable")
+        inside = [j for j, x in enumerate(LABELS) if x[0] == "I"]
+        at = 0
+        while at < len(order):
+            # one batch: lengths up to twice the shortest, so that padding stays below half
+            near = order[at : at + int(np.searchsorted(sizes[order[at:]], 2 * sizes[order[at]], side="right"))]
+            to = at + max(1, int(np.searchsorted(sizes[near] * np.arange(1, len(near) + 1), cells)))
+            pick = order[at:to]
+            n, rows = sizes[pick], np.arange(to - at)
+            cols = np.arange(int(n[-1]))
+            place = np.minimum(spots[begin[pick]][:, None] + cols, len(wide) - 3)
+            s = sum(self.emit[k, wide[place + o]] for k, o in enumerate(OFFSETS))
+            s[np.ix_(opens[begin[pick]], [0], inside)] = -1e4
+            # the words around a stretch are O
+            s[:, 0] += np.where(opens[begin[pick]][:, None], 0, move[0])
+            s[rows, n - 1] += np.where(closes[end[pick] - 1][:, None], 0, move[:, 0])
+            mine = cols < n[:, None]
+            out[(begin[pick][:, None] + cols)[mine]] = self.best(s, n)[mine]
+            at = to
+        return out
+
     def gradient(self, code: np.ndarray, sizes: np.ndarray, gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log-likelihood of the labels and its gradient, by the forward-backward recursion."""
         s, move = self.scores(code), self.move + self.ban
@@ -325,47 +394,25 @@ def _valid(kind: str, words: list[bytes]) -> bool:
     return len(set(words)) == len(words) <= 4 and all(w[:1].isupper() or w[:1] >= b"\x80" for w in words) and not digits
 
 
-def field_spans(texts: Texts, field: Field, chunk: int = 4096) -> list[list[tuple[int, int, int]]]:
+def field_spans(texts: Texts, field: Field) -> list[list[tuple[int, int, int]]]:
     """Per text (start, kind, end) of the spans that the field finds, in code points."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     code, a, b = shapes(texts)
     first = texts.words()[2]
-    worded = np.diff(first) > 0
-    begin, end = first[:-1][worded], first[1:][worded]
+    labels = field.labels(code, first)
+    begin = np.flatnonzero(labels % 2)
     if not len(begin):
         return out
     letters = np.zeros(len(texts.data) + 1, np.int64)
     np.cumsum((texts.data & 0xC0) != 0x80, out=letters[1:])
-    sizes = end - begin
-    order = np.argsort(sizes, kind="stable")
-    at = 0
-    while at < len(order):
-        to = at + 1
-        limit = chunk * 64
-        to = at + max(1, int(np.searchsorted(sizes[order[at:]] * np.arange(1, len(order) - at + 1), limit)))
-        pick = order[at:to]
-        n = sizes[pick]
-        cols = np.arange(int(n.max()))
-        padded = np.where(cols < n[:, None], code[np.minimum(begin[pick][:, None] + cols, len(code) - 1)], SHAPES + len(CUES))
-        labels = field.viterbi(padded, n)
-        for k in np.flatnonzero((labels > 0).any(axis=1)).tolist():
-            row = labels[k]
-            j = 0
-            while j < n[k]:
-                if row[j] and LABELS[row[j]][0] == "B":
-                    stop = j + 1
-                    while stop < n[k] and row[stop] == row[j] + 1:
-                        stop += 1
-                    words = range(int(begin[pick[k]]) + j, int(begin[pick[k]]) + stop)
-                    kind = LABELS[row[j]][2:]
-                    if _valid(kind, [texts.data[a[w] : b[w]].tobytes() for w in words]):
-                        doc = int(np.searchsorted(first, words[0], side="right")) - 1
-                        zero = letters[texts.offs[doc]]
-                        out[doc].append((int(letters[a[words[0]]] - zero), len(KINDS) + MORE.index(kind), int(letters[b[words[-1]]] - zero)))
-                    j = stop
-                else:
-                    j += 1
-        at = to
+    for j, doc in zip(begin.tolist(), (np.searchsorted(first, begin, side="right") - 1).tolist()):
+        stop = j + 1
+        while stop < first[doc + 1] and labels[stop] == labels[j] + 1:
+            stop += 1
+        kind = LABELS[labels[j]][2:]
+        if _valid(kind, [texts.data[a[w] : b[w]].tobytes() for w in range(j, stop)]):
+            zero = letters[texts.offs[doc]]
+            out[doc].append((int(letters[a[j]] - zero), len(KINDS) + MORE.index(kind), int(letters[b[stop - 1]] - zero)))
     return out
 
 

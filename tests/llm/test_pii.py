@@ -112,6 +112,50 @@ def test_field_is_decoded_over_whole_texts():
         assert far
 
 
+def test_labels_of_stretches_score_as_the_best_of_whole_texts():
+    bits = "written by Maria Gonzalez for Ünder council (555) 123-4567 contact 123 45 6789 a@b.co x, 1.2.3.4 é - -- Mr. O'Neil of a".split()
+    for k in range(60):
+        r, g = random.Random(k), np.random.default_rng(k)
+        texts = [" ".join(r.choice(bits) for _ in range(r.choice((0, 1, 1, 2, 3, 5, 20, 150)))) for _ in range(r.randrange(1, 30))] + [None, "", " ", "\n\t"]
+        r.shuffle(texts)
+        f = pii.trained()
+        if k % 5:
+            f = pii.Field(pii.SHAPES + len(pii.CUES))
+            f.emit, f.move = g.normal(0, r.choice((0.3, 1, 3)), f.emit.shape), g.normal(0, r.choice((0.3, 1, 3)), f.move.shape)
+            f.emit[2, :, 0] += r.choice((0, 1, 3, 6, 10, 15))
+        column = Texts(pa.array(texts, pa.string()))
+        code, first, move = pii.shapes(column)[0], column.words()[2], f.move + f.ban
+        got = f.labels(code, first, cells=r.choice((1, 7, 100, 1 << 18)))
+        for a, b in zip(first[:-1], first[1:]):
+            if a < b:
+                s = f.scores(code[None, a:b])[0]
+                score = lambda x: s[np.arange(len(x)), x].sum() + move[x[:-1], x[1:]].sum()
+                best = f.viterbi(code[None, a:b], np.array([b - a]))[0]
+                # of labels that score the same, rounding picks
+                assert abs(score(got[a:b]) - score(best)) < 1e-8, (k, a, b)
+    assert pii.trained().labels(np.zeros(0, np.int64), np.zeros(3, np.int64)).tolist() == []
+
+
+def test_recursion_runs_only_where_a_label_may_pay(monkeypatch):
+    told = {"viterbi": 0, "best": 0}
+
+    def counted(name, plain):
+        def run(self, x, sizes):
+            told[name] += int(sizes.sum())
+            return plain(self, x, sizes)
+
+        return run
+
+    for name in told:
+        if hasattr(pii.Field, name):
+            monkeypatch.setattr(pii.Field, name, counted(name, getattr(pii.Field, name)))
+    plain = "the water of the old mill runs under a bridge and turns two wheels of oak, as it did in 1850 when Paris was far away. " * 20
+    texts = [plain + "please call 312-555-0147 or come by the desk", plain + "yesterday we met Peter Lindqvist near the station " + plain, plain]
+    spans = pii.field_spans(Texts(pa.array(texts)), pii.trained())
+    assert "312-555-0147" in [texts[0][a:b] for a, _, b in spans[0]] and "Peter Lindqvist" in [texts[1][a:b] for a, _, b in spans[1]]
+    assert max(told.values()) < sum(len(t.split()) for t in texts) // 5, told
+
+
 #: Prose that no template of the training table wrote: text, kind, what is to be found.
 PROSE = (
     ("my phone is 415-555-0137 thanks", "local_phone", "415-555-0137"),
