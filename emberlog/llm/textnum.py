@@ -7,6 +7,7 @@ bytes, so a multi-byte character never ends a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 WORD = ~SPACE
 #: A worker holds some fifty bytes for each byte of a slice; larger slices are no faster.
 SLICE_BYTES = 1 << 20
+_LIBC = ctypes.CDLL(None)
 
 _R = np.uint64(0x9E3779B97F4A7C13)  # 3 mod 8: powers stay far apart modulo 2**64
 _RI = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -125,8 +127,18 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(out[at]), at
 
 
+def give_back() -> None:
+    """Return to the system what numpy and Arrow have freed: a worker lives for many tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc's
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about size text bytes; one longer text is a piece of its own."""
+    """The same rows in pieces of about size text bytes; one longer text is a piece of its own.
+
+    After each batch, what its pieces have freed goes back to the system.
+    """
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -136,6 +148,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(at, to - at)
             at, base = to, int(ends[to - 1])
+        del batch
+        give_back()
 
 
 def owner(first: np.ndarray, n: int) -> np.ndarray:

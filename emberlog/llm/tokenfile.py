@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberlog.llm.scratch import fresh, materialize
-from emberlog.llm.textnum import Texts, slices
+from emberlog.llm.textnum import Texts, give_back, slices
 
 MAGIC = b"EMBPFOR1"
 BLOCK = 256
@@ -338,9 +338,10 @@ class PieceTokenizer:
         self.bpe = self.model.model
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.end_id = end_id
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Drop what is known of parts and pieces; the model stays."""
         self.known = Known()
         self.pieces_of: dict[str, list[int]] = {}
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 1
@@ -384,7 +385,7 @@ class PieceTokenizer:
         starts, ends, first = parts_of(texts)
         keys = texts.hashes(starts, ends)
         if self.known.n > CACHE_PARTS:
-            self._clear()
+            self.forget()
         which = self.known.find(keys)
         missing = np.flatnonzero(which < 0)
         if len(missing):
@@ -432,7 +433,7 @@ class PieceTokenizer:
 
 @functools.lru_cache(maxsize=1)
 def tokenizer(path: str, end_id: int) -> PieceTokenizer:
-    """One tokenizer for all tasks of a worker, so that what it remembers lasts."""
+    """One tokenizer for all tasks of a worker, so that its model is read once."""
     return PieceTokenizer(path, end_id)
 
 
@@ -461,6 +462,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             out.add(keys.fill_null(0).to_numpy(), np.asarray(keys.is_null()), ids, lengths)
             n += batch.num_rows
         if out is not None:
+            tokens.forget()  # else it stays in a worker that other stages use
+            give_back()
             total, size = out.ids, out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *map(pa.array, ([name], [n], [total], [size]))], names=["shard", "name", "n_docs", "n_tokens", "n_bytes"])
 
