@@ -220,6 +220,14 @@ def _string_rows(reaches: DataFrame, part: int, parts: int) -> DataFrame:
     return reaches.mapInArrow(run, "whole long, doc long, place int, rank long")
 
 
+def _fewer(df: DataFrame, together: int) -> DataFrame:
+    """df in fewer tasks, where that leaves one for each core: each takes so many shuffled partitions, one after the other, so that
+    it holds no more at a time.  That makes fewer and larger scratch files; on a local path Hadoop starts processes for each file, and one
+    that does not run its own program yet reports the JVM's memory as its own."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // together)))
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """doc, tag, span (start and size): pieces of the texts (doc, tag, text) that stand in a smaller doc as well."""
     spark, scratch = docs.sparkSession, []
@@ -234,20 +242,20 @@ def covered(docs: DataFrame) -> DataFrame:
     held = []
     for part in range(PARTS):
         ranked = _anchor_rows(docs, part, PARTS).repartition("gram").sortWithinPartitions("gram", "whole", "doc")
-        held.append(keep(ranked.mapInArrow(_ranked, "doc long, tag long, span long, whole long, first boolean"), "live"))
+        held.append(keep(_fewer(ranked.mapInArrow(_ranked, "doc long, tag long, span long, whole long, first boolean"), 2), "live"))
         del ranked
     live = functools.reduce(DataFrame.unionByName, held)
     # anchors that stand in several reaches: rank the strings one by one, in the first document of each reach
     wanted = live.filter("first").groupBy("doc", "tag").agg(F.collect_set(F.struct("span", "whole")).alias("wanted"))
-    reaches = keep(_reach_bytes(docs.join(wanted, ["doc", "tag"]).select("doc", "text", "wanted")), "reaches")
+    reaches = keep(_fewer(_reach_bytes(docs.join(wanted, ["doc", "tag"]).select("doc", "text", "wanted")), 2), "reaches")
     rank = Window.partitionBy("rank")
-    strings = functools.reduce(DataFrame.unionByName, [keep(_string_rows(reaches, part, PARTS).withColumn("low", F.min("doc").over(rank)).filter("doc > low").select("whole", "doc", "place"), "strings") for part in range(PARTS)])
+    strings = functools.reduce(DataFrame.unionByName, [keep(_fewer(_string_rows(reaches, part, PARTS).withColumn("low", F.min("doc").over(rank)).filter("doc > low").select("whole", "doc", "place"), 4), "strings") for part in range(PARTS)])
     gone = strings.groupBy("whole", "doc").agg(F.collect_set("place").alias("places"))
     # wherever that document has this reach
     start = F.shiftright("span", REACH_BITS)
     places = live.filter("whole IS NOT NULL").join(gone, ["whole", "doc"]).select("doc", "tag", start.alias("start"), F.explode("places").alias("place"))
     places = places.select("doc", "tag", F.shiftleft(F.col("start") + F.col("place"), REACH_BITS).bitwiseOR(F.lit(WIDTH)).alias("span"))
-    pieces = materialize(live.filter("whole IS NULL").select("doc", "tag", "span").unionByName(places), "pieces", release=True)
+    pieces = materialize(live.filter("whole IS NULL").select("doc", "tag", "span").unionByName(_fewer(places, 4)), "pieces", release=True)
     for df in scratch:  # the pieces are written and need none of these
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             remove(spark, path)

@@ -59,6 +59,33 @@ def test_a_reach_that_repeats_in_its_first_document(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_scratch_lies_in_few_files_and_results_stay(spark, monkeypatch):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    p = [text(150) for _ in range(6)]
+    rows = [(d, text(30) + p[d % 6][d % 40 : 90 + d % 60] + text(20) + p[d % 5]) for d in range(80)]
+    keep, files = exactsub.materialize, {}
+
+    def counted(df, label, **more):
+        out = keep(df, label, **more)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(exactsub, "materialize", counted)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert run(spark, rows) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(files) == {"live", "reaches", "strings", "pieces"}
+    assert all(n <= 8 for label, n in files.items() if label != "pieces"), files
+    assert files["pieces"] <= 16, files  # those of two tables
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
